@@ -14,27 +14,37 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(_NUMBER), F.lit(False))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def guard(text: Column) -> Column:
     """Why a number given as text cannot be stored exactly; null when it can."""
+    return bind(text, _problem)
+
+
+def _problem(text: Column) -> Column:
     exponent = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]([+-]?\d+)", 1), F.lit("")).cast("int"), F.lit(0))
     body = F.regexp_replace(F.trim(F.regexp_replace(text, r"[eE].*$", "")), r"^[+-]", "")
     decimals = F.length(F.regexp_extract(body, r"\.(\d*)", 1)) - exponent
     digits = F.greatest(F.length(F.regexp_replace(F.regexp_replace(body, r"\.", ""), r"^0+", "")), F.lit(1))
-    fraction = F.greatest(decimals, F.lit(0))
-    # A positive exponent adds places to the left.
     integer = F.greatest(digits - decimals, F.lit(0))
     return (
         F.when(text.isNull() | ~text.rlike(_NUMBER), F.lit("NOT_FINITE_DECIMAL"))
-        .when(fraction > STORED_SCALE, F.lit("SCALE_EXCEEDED"))
+        .when(decimals > STORED_SCALE, F.lit("SCALE_EXCEEDED"))
         .when(integer + STORED_SCALE > STORED_PRECISION, F.lit("PRECISION_EXCEEDED"))
     )
 
 
 def stored(text: Column) -> Column:
     """The exact stored value; a number that does not fit stops the job, as a silent null would lose data."""
-    return F.when(
-        text.isNotNull() & guard(text).isNotNull(), F.raise_error(F.concat(F.lit("decimal does not fit: "), text))
-    ).otherwise(text.try_cast(STORED))
+    return bind(
+        text,
+        lambda t: F.when(
+            t.isNotNull() & _problem(t).isNotNull(), F.raise_error(F.concat(F.lit("decimal does not fit: "), t))
+        ).otherwise(t.try_cast(STORED)),
+    )
 
 
 def half_even(value: Column, places: int = STORED_SCALE) -> Column:
@@ -52,22 +62,34 @@ def product(a: Column, b: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b to 18 places, half-even; null where b is 0.
 
-    The quotient is built digit block by digit block because decimal division keeps too few places at this width.
+    Decimal division keeps too few places at this width, so the quotient is built as a whole part and two blocks of
+    nine digits, each from the exact remainder of the one before.
     """
-    a, b = a.cast("decimal(20,9)"), F.nullif(b.cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
-    scaled = F.lit(10**9).cast("decimal(10,0)")
-    magnitude, divisor = F.abs(a), F.abs(b)
-    whole = F.floor(magnitude / divisor).cast("decimal(20,0)")
-    rest = (magnitude - whole * divisor).cast("decimal(20,9)")
-    first = F.floor((rest * scaled) / divisor).cast("decimal(10,0)")
-    rest = (rest * scaled - first * divisor).cast("decimal(20,9)")
-    second = F.floor((rest * scaled) / divisor).cast("decimal(10,0)")
-    rest = (rest * scaled - second * divisor).cast("decimal(20,9)")
-    twice = (rest * 2).cast("decimal(21,9)")
-    up = (twice > divisor) | ((twice == divisor) & (second % 2 == 1))
-    quotient = (
-        whole.cast(STORED)
-        + (first * F.lit("0.000000001").cast("decimal(9,9)")).cast(STORED)
-        + ((second + up.cast("int")).cast("decimal(11,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)")).cast(STORED)
-    ).cast(STORED)
-    return F.when((a < 0) != (b < 0), -quotient).otherwise(quotient).cast(STORED)
+    block = F.lit(10**9).cast("decimal(10,0)")
+
+    def split(state: Column) -> Column:
+        """Whole quotient of rest / by, and the exact remainder."""
+        return bind(
+            F.floor(state["rest"] / state["by"]).cast("decimal(20,0)"),
+            lambda q: F.struct(q.alias("q"), (state["rest"] - q * state["by"]).cast("decimal(20,9)").alias("rest"), state["by"].alias("by")),
+        )
+
+    def shift(state: Column) -> Column:
+        return F.struct((state["rest"] * block).cast("decimal(31,9)").alias("rest"), state["by"].alias("by"))
+
+    def joined(whole: Column, first: Column, second: Column) -> Column:
+        twice = (second["rest"] * 2).cast("decimal(22,9)")
+        up = (twice > second["by"]) | ((twice == second["by"]) & (second["q"] % 2 == 1))
+        return (
+            whole["q"].cast("decimal(30,18)")
+            + (first["q"].cast("decimal(10,0)") * F.lit("0.000000001").cast("decimal(9,9)")).cast("decimal(30,18)")
+            + ((second["q"].cast("decimal(10,0)") + up.cast("int")) * F.lit("0.000000000000000001").cast("decimal(18,18)")).cast("decimal(30,18)")
+        ).cast(STORED)
+
+    wide = lambda c: F.abs(c.cast("decimal(20,9)"))
+    start = F.struct(wide(a).alias("rest"), F.nullif(wide(b), F.lit(0).cast("decimal(20,9)")).alias("by"))
+    size = bind(
+        start,
+        lambda s: bind(split(s), lambda w: bind(split(shift(w)), lambda f: bind(split(shift(f)), lambda g: joined(w, f, g)))),
+    )
+    return F.when((a < 0) != (b < 0), -size).otherwise(size).cast(STORED)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_two_sided_value(z: float) -> float:
@@ -51,12 +52,12 @@ def f_tail_value(f: float, d1: float, d2: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided_value(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else f_tail_value(v, a, b) for v, a, b in zip(f, d1, d2)])
 

@@ -94,7 +94,7 @@ def _shaped(df: DataFrame, columns: list[str], values: dict[str, Column]) -> Dat
 
 def trades(prepared: DataFrame) -> DataFrame:
     rows = parsing.market_records(prepared, "trade")
-    rows = rows.withColumns({c: N.stored(F.col(c)) for c in ("price", "quantity")})
+    rows = parsing.settled(rows.withColumns({c: N.stored(F.col(c)) for c in ("price", "quantity")}), "price", "quantity")
     side, trade_id = F.col("aggressor_side"), F.col("trade_id")
     return _shaped(
         rows, S.TRADE_COLUMNS,
@@ -132,7 +132,7 @@ def quote_measures(bid: Column, bid_size: Column, ask: Column, ask_size: Column)
 def quotes(prepared: DataFrame) -> DataFrame:
     rows = parsing.market_records(prepared, "quote")
     prices = ("bid_price", "bid_size", "ask_price", "ask_size")
-    rows = rows.withColumns({c: N.stored(F.col(c)) for c in prices})
+    rows = parsing.settled(rows.withColumns({c: N.stored(F.col(c)) for c in prices}), *prices)
     return _shaped(
         rows, S.QUOTE_COLUMNS,
         _event(rows, "top_of_book", "venue_quote_time")
@@ -180,8 +180,8 @@ def tables(archive: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
 
 def event_stream(trade_rows: DataFrame, quote_rows: DataFrame) -> DataFrame:
     """Trades and quotes as one stream, missing columns null."""
-    return trade_rows.withColumn("event_kind", F.lit("trade")).unionByName(
-        quote_rows.withColumn("event_kind", F.lit("top_of_book")), allowMissingColumns=True
+    return trade_rows.withColumn("event_type", F.lit("trade")).unionByName(
+        quote_rows.withColumn("event_type", F.lit("top_of_book")), allowMissingColumns=True
     )
 
 

@@ -77,6 +77,20 @@ def _valid(record: Column, shape: RecordShape) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once.
+
+    They pass through a one-element generator, which the optimizer does not look through; otherwise the long parse
+    expressions would be copied into every later filter and projection that mentions them.
+    """
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))
+
+
+def _validator(shape: RecordShape):
+    return lambda record: _valid(record, shape)
+
+
 def classify(frames: DataFrame) -> DataFrame:
     """Add ``payload``, ``result_kind``, ``channel``, ``message``, ``detail`` and ``records`` (VARIANT array).
 
@@ -159,7 +173,7 @@ def classify(frames: DataFrame) -> DataFrame:
         .when(F.col("_kind").isin("trade", "quote"), F.col("_mine"))
     )
     checked = {
-        (k, first): F.forall("records", lambda r, s=shapes[v]: _valid(r, s))
+        (k, first): F.forall("records", _validator(shapes[v]))
         for k, shapes in (("trade", TRADE_SHAPE), ("quote", QUOTE_SHAPE))
         for first, v in ((True, VENUE_1), (False, VENUE_2))
     }
@@ -168,19 +182,20 @@ def classify(frames: DataFrame) -> DataFrame:
         sound = F.when((F.col("_kind") == k) & (F.col("_first") == F.lit(first)), test).otherwise(sound)
     placed = placed.withColumn("records", records).withColumn("_sound", sound)
     # Venue 1 acknowledgements carry no "subscription" wording in their summary text apart from the type itself.
-    settled = (
+    final = (
         F.when(~F.col("_sound"), "invalid").when(F.col("_kind") == "acknowledgement_1", "acknowledgement")
         .otherwise(F.col("_kind"))
     )
-    return placed.select(
+    out = placed.select(
         *frames.columns,
         "payload",
-        settled.alias("result_kind"),
-        F.when(F.col("_first"), F.when(F.col("_kind") == "trade", "matches").otherwise(typ))
+        final.alias("result_kind"),
+        F.when(F.col("_first"), F.when(typ.isin("match", "last_match"), "matches").otherwise(typ))
         .otherwise(F.coalesce(F.when(F.col("_method") == "subscribe", P.text_of(F.col("_result"), "channel")), chan))
         .alias("channel"),
         F.when(F.col("_first"), typ)
-        .otherwise(
+        .when(
+            F.col("_object"),
             F.when(F.col("_method").isin("subscribe", "error"), F.col("_method"))
             .otherwise(F.coalesce(P.text_of(body, "type"), F.lit("update")))
         ).alias("message"),
@@ -195,8 +210,9 @@ def classify(frames: DataFrame) -> DataFrame:
                 ),
             ), 1, REASON_TEXT,
         ).alias("detail"),
-        F.when(settled.isin("trade", "quote"), F.col("records")).alias("records"),
+        F.when(final.isin("trade", "quote"), F.col("records")).alias("records"),
     )
+    return settled(out, "payload", "result_kind", "channel", "message", "detail", "records")
 
 
 def outcome(kind: Column, records: Column) -> Column:
@@ -234,7 +250,7 @@ def market_records(classified: DataFrame, kind: str) -> DataFrame:
         "child_index",
         _pick(shapes, lambda s: P.time_of(record, s.time)).alias("event_ts"),
         _pick(shapes, lambda s: P.text_of(record, s.time)).alias("event_ts_text"),
-        *[_pick(shapes, lambda s, n=n: P.text_of(record, s.numbers[n])).alias(n) for n in shapes[VENUE_1].numbers],
+        *[_pick(shapes, lambda s: P.text_of(record, s.numbers[n])).alias(n) for n in shapes[VENUE_1].numbers],
         F.when(F.col("venue") == VENUE_1, P.text_of(record, "sequence"))
         .otherwise(P.text_of(record, "trade_id") if kind == "trade" else F.lit(None))
         .alias("source_sequence"),
@@ -247,4 +263,4 @@ def market_records(classified: DataFrame, kind: str) -> DataFrame:
             else []
         ),
     )
-    return out
+    return settled(out, *[c for c in out.columns if c not in kept])

@@ -1 +1,14 @@
 """Named queries over the operators, each with its SQL counterpart where SQL can express it."""
+
+from __future__ import annotations
+
+from tandemtape.plans import frames, prices  # noqa: F401
+from tandemtape.plans.registry import ORACLES, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(ORACLES)

@@ -17,14 +17,27 @@ STORED = f"decimal({STORED_PRECISION},{STORED_SCALE})"
 # Arithmetic is done in a narrower type: Spark would round products of the stored type to 6 places.
 WORKING = "decimal(18,9)"
 
-_ddl = T.StructType.fromDDL
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+    STORED: T.DecimalType(STORED_PRECISION, STORED_SCALE),
+}
+
+
+def _schema(columns: dict[str, str]) -> T.StructType:
+    """Built from type names without a session, so importing this module needs none."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
 
 # One archived frame (one JSON line of a shard).
-ARCHIVE = _ddl(
-    "archive_schema_version string, record_index bigint, collector_session_id string, venue string,"
-    "canonical_instrument string, venue_symbol string, local_receipt_ts timestamp, frame_type string,"
-    "frame_encoding string, raw_frame string, raw_frame_byte_length bigint, message_type string,"
-    "source_channel string, exchange_ts timestamp"
+ARCHIVE = _schema(
+    {
+        "archive_schema_version": "string", "record_index": "bigint", "collector_session_id": "string",
+        "venue": "string", "canonical_instrument": "string", "venue_symbol": "string",
+        "local_receipt_ts": "timestamp", "frame_type": "string", "frame_encoding": "string", "raw_frame": "string",
+        "raw_frame_byte_length": "bigint", "message_type": "string", "source_channel": "string",
+        "exchange_ts": "timestamp",
+    }
 )
 
 # Stored column names of the normalized tables, grouped by what supplies them.
@@ -96,7 +109,7 @@ def column_type(name: str) -> str:
 
 
 def table_schema(columns: list[str]) -> T.StructType:
-    return _ddl(", ".join(f"{c} {column_type(c)}" for c in columns))
+    return _schema({c: column_type(c) for c in columns})
 
 
 TRADES = table_schema(TRADE_COLUMNS)

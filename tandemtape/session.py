@@ -22,10 +22,16 @@ def local_session(cores: str = "8", app: str = "tandemtape") -> SparkSession:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a table that several later steps read, in the folder the cluster names for checkpoints."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one is made only where none is set, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a table that several later steps read, so its lineage ends at files every executor can reach."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -42,6 +42,6 @@ def write_archive(frames: DataFrame, root: str) -> None:
     block = F.floor(F.col("record_index") / 1_000_000)
     (
         rows.repartition("session", block).sortWithinPartitions("session", "record_index")
-        .withColumn("venue_dir", F.col("venue")).withColumnRenamed("venue_dir", "venue_key")
-        .write.mode("overwrite").partitionBy("venue_key", "instrument", "date", "session").json(root)
+        .withColumn("venue_key", F.col("venue"))
+        .write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").partitionBy("venue_key", "instrument", "date", "session").json(root)
     )

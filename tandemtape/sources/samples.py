@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WEEK_US = 7 * 86_400_000_000
+from tandemtape.operators.ordered import carry, sliced
+from tandemtape.operators.parsing import settled
 
 # Microseconds since 1970, the week's Monday as the attempt, venue and the integer inside props.
 _BASE = """
@@ -132,20 +133,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _base(spark: SparkSession, folder: str) -> DataFrame:
+def base(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(base_sql(SPARK_TOKENS).replace("FROM events", "FROM {events}"), events=table(spark, folder, "events"))
 
 
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per tick with both a trade and a quote reading of it."""
-    return spark.sql(ticks_sql().replace("FROM base", "FROM {base}"), base=_base(spark, folder))
+    return spark.sql(ticks_sql().replace("FROM base", "FROM {base}"), base=base(spark, folder))
 
 
 def archive(spark: SparkSession, folder: str) -> DataFrame:
     """The events as archived raw frames of both venues, planted faults included."""
     framed = spark.sql(
-        frames_sql().replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"), base=_base(spark, folder)
+        frames_sql().replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"), base=base(spark, folder)
     )
+    framed = settled(framed, "frame_text")
     out = spark.sql(archive_sql(SPARK_TOKENS).replace("FROM framed", "FROM {framed}"), framed=framed)
     return out.select(
         F.lit("1.0").alias("archive_schema_version"), "record_index",
@@ -158,3 +160,22 @@ def archive(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("exchange_ts"), F.col("attempt_id").alias("campaign_attempt_id"),
         F.floor(F.col("record_index") / 5000).alias("shard"),
     )
+
+
+_TREND = """
+  SELECT record_index, ts_us, attempt_id, venue, 100 * exp((running - nth * whole / n) / 100.0 / 20000.0 + (k - 50) * 1e-5) AS price
+  FROM summed
+"""
+
+
+def trend_sql() -> str:
+    return _TREND
+
+
+def trend(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes whose log price follows one common walk per attempt plus noise; both venues observe it."""
+    cut, track = sliced(base(spark, folder), ["attempt_id"], ["record_index"], "record_index")
+    one = F.lit(1).cast("bigint")
+    summed = carry(cut, track, sums={"running": F.col("cents"), "nth": one}, totals={"whole": F.col("cents"), "n": one})
+    rows = spark.sql(trend_sql().replace("FROM summed", "FROM {summed}"), summed=summed)
+    return rows.withColumns({"bid_price": F.col("price"), "ask_price": F.col("price")})

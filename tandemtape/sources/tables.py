@@ -84,24 +84,26 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
     if {"trades", "top_of_book"} <= set(tables):
         from tandemtape.operators.normalize import event_stream
 
-        event_stream(tables["trades"], tables["top_of_book"]).createOrReplaceTempView("normalized_events")
+        event_stream(tables["trades"], tables["top_of_book"]).createOrReplaceTempView("normalized_event_stream")
     if "raw_record_outcomes" in tables:
         session_summary(tables["raw_record_outcomes"]).createOrReplaceTempView("session_summary")
         venue_summary(tables["raw_record_outcomes"]).createOrReplaceTempView("venue_summary")
 
 
 def session_summary(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("session_id", "venue").agg(
-        F.count(F.lit(1)).alias("raw_records"), F.sum("normalized_trade_row_count").alias("trade_rows"),
-        F.sum("normalized_bbo_row_count").alias("top_of_book_rows"),
-        F.min("receipt_timestamp_utc").alias("first_receipt"), F.max("receipt_timestamp_utc").alias("last_receipt"),
+    return outcomes.groupBy("venue", "session_id").agg(
+        F.count(F.lit(1)).alias("raw_record_count"), F.min("local_receipt_ts").alias("first_local_receipt_ts"),
+        F.max("local_receipt_ts").alias("last_local_receipt_ts"), F.sum("normalized_trade_row_count").alias("trade_count"),
+        F.sum("normalized_bbo_row_count").alias("top_of_book_count"),
+        F.count_if(F.col("parse_status") == "ERROR").alias("parse_error_count"),
+        F.count_if("is_raw_frame_duplicate").alias("duplicate_raw_frame_count"),
     )
 
 
 def venue_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("venue").agg(
-        F.count(F.lit(1)).alias("raw_records"), F.sum("normalized_trade_row_count").alias("trade_rows"),
-        F.sum("normalized_bbo_row_count").alias("top_of_book_rows"), F.count_distinct("session_id").alias("sessions"),
+        F.count(F.lit(1)).alias("raw_record_count"), F.sum("normalized_trade_row_count").alias("trade_count"),
+        F.sum("normalized_bbo_row_count").alias("top_of_book_count"),
     )
 
 
