@@ -187,8 +187,8 @@ def lineage_lists(attempts: DataFrame, slots: DataFrame) -> DataFrame:
 
 def order_faults(rows: DataFrame, keys: Sequence[str], index: str, order: Sequence[str]) -> DataFrame:
     """Rows listed before one they should follow, by (planned start, slot, attempt)."""
-    cut, track = sliced(rows, keys, [index], index)
-    held = carry(cut, track, before={"_p": F.struct(*order)})
+    placed, track = sliced(rows, keys, [index], index)
+    held = carry(placed, track, before={"_p": F.struct(*order)})
     return held.where(F.col("_p") > F.struct(*order)).select(*keys, index, *order)
 
 
@@ -224,9 +224,9 @@ def runtime_faults(events: DataFrame, keys: Sequence[str] = ("campaign_id",)) ->
     The commit in force is the latest one set by an earlier initialisation or migration event.
     """
     sets = F.col("event_type").isin("CAMPAIGN_INITIALIZED") | F.col("event_type").startswith("CAMPAIGN_RUNTIME_MIGRATED")
-    cut, track = sliced(events, keys, ["event_index"], "event_index")
+    placed, track = sliced(events, keys, ["event_index"], "event_index")
     commit = F.nullif(F.col("new_commit"), F.lit(""))
-    held = carry(cut, track, before={"expected_commit": (commit, sets & commit.isNotNull())})
+    held = carry(placed, track, before={"expected_commit": (commit, sets & commit.isNotNull())})
     mismatch = (F.col("event_type") == "ATTEMPT_STARTED") & (F.col("attempt_commit") != F.col("expected_commit"))
     blank = F.col("event_type").startswith("CAMPAIGN_RUNTIME_MIGRATED") & commit.isNull()
     return held.where(F.coalesce(mismatch, F.lit(False)) | blank).select(

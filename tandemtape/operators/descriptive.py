@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions.quantiles import exact_quantiles
 from tandemtape.operators.ordered import carry, sliced
+from tandemtape.session import cut
 
 MEDIAN = ("linear", 0.5)
 P25, P50, P75, P95 = (("nearest", q) for q in (0.25, 0.5, 0.75, 0.95))
@@ -38,15 +39,15 @@ def describe_spread(df: DataFrame, keys: Sequence[str], value: str, threshold: f
 
 def steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, prior: Mapping[str, Column]) -> DataFrame:
     """Values of the row before, in record order."""
-    cut, track = sliced(df, keys, order, position)
-    return carry(cut, track, before=prior)
+    placed, track = sliced(df, keys, order, position)
+    return carry(placed, track, before=prior)
 
 
 def log_returns(trades: DataFrame, keys: Sequence[str], order: Sequence[str] = ("record_index",), price: str = "price") -> DataFrame:
     """Log return against the previous row with a price, in record order (not time order)."""
     priced = F.col(price).isNotNull()
-    cut, track = sliced(trades, keys, order, order[0])
-    before = carry(cut, track, before={"_p": (F.ln(price), priced)})
+    placed, track = sliced(trades, keys, order, order[0])
+    before = carry(placed, track, before={"_p": (F.ln(price), priced)})
     return before.withColumn("log_return", F.ln(price) - F.col("_p")).drop("_p", "_slice")
 
 
@@ -55,8 +56,8 @@ def interarrival(
 ) -> DataFrame:
     """Milliseconds since the previous row that has a time, in record order."""
     timed = rows.where(F.col(ts).isNotNull())
-    cut, track = sliced(timed, keys, order, order[0])
-    return carry(cut, track, before={"_t": F.col(ts)}).withColumn(
+    placed, track = sliced(timed, keys, order, order[0])
+    return carry(placed, track, before={"_t": F.col(ts)}).withColumn(
         "interarrival_ms", (F.col(ts) - F.col("_t")) / 1000.0
     ).drop("_t", "_slice")
 
@@ -66,9 +67,9 @@ SORTED_SLICE_US = 3_600_000_000
 
 def sorted_interarrival_median(rows: DataFrame, keys: Sequence[str], ts: str = "ts_us") -> DataFrame:
     """Median gap in time order.  Equal times collapse to one row with a weight before any ordering happens."""
-    instants = rows.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
-    cut, track = sliced(instants, keys, [ts], ts, SORTED_SLICE_US)
-    gaps = carry(cut, track, before={"_t": F.col(ts)})
+    instants = cut(rows.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n")))
+    placed, track = sliced(instants, keys, [ts], ts, SORTED_SLICE_US)
+    gaps = carry(placed, track, before={"_t": F.col(ts)})
     pairs = gaps.select(
         *keys,
         F.explode(
@@ -88,8 +89,16 @@ def attempt_statistics(
 ) -> DataFrame:
     """One wide row per attempt and venue over price, return, size, inter-arrival and intensity."""
     keys = [attempt, "venue"]
-    moved = interarrival(log_returns(trades, keys), keys)
-    quoted = interarrival(quotes, keys)
+    placed, track = sliced(trades.select(*keys, "record_index", "ts_us", "price", "quantity"), keys, ["record_index"], "record_index")
+    linked = carry(
+        placed, track,
+        before={"_p": (F.ln("price"), F.col("price").isNotNull()), "_t": (F.col("ts_us"), F.col("ts_us").isNotNull())},
+    )
+    moved = cut(linked.select(
+        *keys, "ts_us", "price", "quantity", (F.ln("price") - F.col("_p")).alias("log_return"),
+        ((F.col("ts_us") - F.col("_t")) / 1000.0).alias("interarrival_ms"),
+    ))
+    quoted = cut(interarrival(quotes.select(*keys, "record_index", "ts_us"), keys))
     r = F.col("log_return")
     span = lambda: (F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)
     rate = lambda: F.when(span() > 0, F.count("ts_us") / span()).otherwise(F.lit(0.0))

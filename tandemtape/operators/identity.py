@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tandemtape.operators.ordered import SLICE, carry, longest_run, sliced
 from tandemtape.operators.parsing import frame_bytes
+from tandemtape.session import cut
 
 EXAMPLES = 10
 
@@ -103,9 +104,9 @@ def frame_duplicates(frames: DataFrame, session: str = "session_id", index: str
     Copies of one frame may be a large part of a session, so they are numbered slice by slice.
     """
     hashed = frames.withColumn("frame_hash", frame_hash(F.col("venue"), F.col("frame_type"), F.col("raw_frame")))
-    cut, track = sliced(hashed, [session, "frame_hash"], [index], index, SLICE)
+    placed, track = sliced(hashed, [session, "frame_hash"], [index], index, SLICE)
     one = F.lit(1).cast("bigint")
-    out = carry(cut, track, sums={"_nth": one}, totals={"duplicate_count": one})
+    out = carry(placed, track, sums={"_nth": one}, totals={"duplicate_count": one})
     return out.select(
         *hashed.columns,
         "duplicate_count",
@@ -231,9 +232,9 @@ def payload_trade_repeats(records: DataFrame, content: Column, examples: int = E
 
 def consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, what: str) -> DataFrame:
     """Rows equal to the row before them, and the longest run of equal rows, per key."""
-    cut, track = sliced(df.select(*keys, *dict.fromkeys([*order, position, what])), keys, order, position)
-    flagged = carry(cut, track, before={"_prev": F.col(what)})
-    flagged = flagged.withColumn("_new", F.when(F.col("_prev") == F.col(what), 0).otherwise(1))
+    rows, track = sliced(df.select(*keys, *dict.fromkeys([*order, position, what])), keys, order, position)
+    flagged = carry(rows, track, before={"_prev": F.col(what)})
+    flagged = cut(flagged.withColumn("_new", F.when(F.col("_prev") == F.col(what), 0).otherwise(1)))
     runs = carry(flagged, track, sums={"_run": F.col("_new")})
     best = longest_run(runs, keys, "_run", position)
     totals = flagged.groupBy(*keys).agg(
@@ -247,9 +248,9 @@ def chain_breaks(events: DataFrame, campaign: str, genesis: str) -> DataFrame:
 
     Needs ``event_index``, ``previous_hash``, ``event_hash`` and ``canonical_payload``.
     """
-    cut, track = sliced(events, [campaign], ["event_index"], "event_index")
+    placed, track = sliced(events, [campaign], ["event_index"], "event_index")
     linked = carry(
-        cut, track, before={"_hash": F.col("event_hash"), "_index": F.col("event_index")},
+        placed, track, before={"_hash": F.col("event_hash"), "_index": F.col("event_index")},
     )
     expected_index = F.coalesce(F.col("_index") + 1, F.lit(0))
     return (

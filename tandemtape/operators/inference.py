@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions.tails import chi2_tail_even
 from tandemtape.operators.ordered import carry, sliced
+from tandemtape.session import cut
 
 # Categories and labels of the result tables.
 DIRECTIONS = ("coinbase_predicts_kraken", "kraken_predicts_coinbase")
@@ -19,9 +20,6 @@ def usable_p(p: Column) -> Column:
     return F.coalesce(p.isNotNull() & ~F.isnan(p) & p.between(0.0, 1.0), F.lit(False))
 
 
-P_SLICE = 1e-6
-
-
 def false_discovery(tests: DataFrame, alpha: float = 0.05, p: str = "raw_p_value", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values over each whole family.
 
@@ -33,9 +31,9 @@ def false_discovery(tests: DataFrame, alpha: float = 0.05, p: str = "raw_p_value
     values = rows.where(usable_p(F.col(p))).groupBy(*fam, p).agg(F.count(F.lit(1)).alias("_n"))
     # Small p-values are dense near zero, so slices are equal on the log scale.
     place = F.floor(F.ln(F.greatest(F.col(p), F.lit(1e-320))) * 1000).cast("bigint")
-    cut, track = sliced(values, fam, [p], place, 1)
-    ranked = carry(cut, track, sums={"_rank": F.col("_n")}, totals={"_m": F.col("_n")})
-    scaled = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
+    placed, track = sliced(cut(values), fam, [p], place, 1)
+    ranked = carry(placed, track, sums={"_rank": F.col("_n")}, totals={"_m": F.col("_n")})
+    scaled = cut(ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank")))
     lows = scaled.groupBy(*fam, "_slice").agg(F.min("_raw").alias("_low"))
     later = Window.partitionBy(*fam).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.select(*fam, "_slice", F.min("_low").over(later).alias("_later"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions.quantiles import exact_quantiles
 from tandemtape.operators.ordered import carry, haloed, sliced
+from tandemtape.session import cut
 
 def delta_statistics(events: DataFrame, keys: Sequence[str], value: str = "delta_ms", index: str = "record_index") -> DataFrame:
     """Count, negatives, extremes, next-index-up ranks, population deviation, first and last negative row."""
@@ -84,8 +85,8 @@ def missing_spans(ids: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Spans replace the list of every id of a range, so the work follows the ids seen, not the width of the range.
     """
     seen = ids.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("bigint").alias("id")).distinct()
-    cut, track = sliced(seen, keys, ["id"], "id")
-    return carry(cut, track, before={"_low": F.col("id")}).where(F.col("id") - F.col("_low") > 1).select(
+    rows, track = sliced(cut(seen), keys, ["id"], "id")
+    return carry(rows, track, before={"_low": F.col("id")}).where(F.col("id") - F.col("_low") > 1).select(
         *keys, (F.col("_low") + 1).alias("missing_from"), (F.col("id") - 1).alias("missing_to"),
         (F.col("id") - F.col("_low") - 1).alias("missing_ids"),
     )
@@ -102,13 +103,14 @@ def surrounding_ids(ids: DataFrame, heard: DataFrame, keys: Sequence[str], value
     both = seen.withColumn("_s", F.lit(1)).unionAll(asked.withColumn("_s", F.lit(0))).groupBy(*keys, "id").agg(
         F.max("_s").alias("seen"), F.min("_s").alias("_a")
     ).withColumn("asked", F.col("_a") == 0)
-    cut, track = sliced(both, keys, ["id"], "id")
+    rows, track = sliced(cut(both), keys, ["id"], "id")
     is_seen = F.col("seen") == 1
-    low = carry(cut, track, before={"below": (F.col("id"), is_seen)}, sums={"_count": F.col("seen").cast("bigint")})
-    back, turned = sliced(low.drop("_slice").withColumn("_back", -F.col("id")), keys, ["_back"], "_back")
-    high = carry(back, turned, before={"above": (F.col("id"), is_seen)})
+    around = carry(
+        rows, track, before={"below": (F.col("id"), is_seen)}, after={"above": (F.col("id"), is_seen)},
+        sums={"_count": F.col("seen").cast("bigint")},
+    )
     first = seen.groupBy(*keys).agg(F.min("id").alias("_first"))
-    answered = high.where("asked").join(first, list(keys), "left").select(
+    answered = around.where("asked").join(first, list(keys), "left").select(
         *keys, "id", F.col("below").alias("previous_seen_id"), F.col("above").alias("next_seen_id"),
         F.when(F.coalesce("_first", F.col("id")) > F.col("id"), F.lit(0))
         .otherwise(F.col("id") - F.coalesce("_first", F.col("id")) + 1 - F.col("_count")).alias("missing_ids"),
@@ -130,10 +132,10 @@ def stale_intervals(changes: DataFrame, frames: DataFrame, keys: Sequence[str],
     both ends of each gap.  Frames at one instant first collapse to their counts.  Quote gaps are taken in record order;
     a gap that runs backwards in receipt time is not stale.
     """
-    gaps = changes.where(F.col("gap_seconds") > threshold_seconds).select(
+    gaps = cut(changes.where(F.col("gap_seconds") > threshold_seconds).select(
         *keys, F.col("record_index").alias("quote_index"), F.col("before_us"), F.col("receipt_us").alias("after_us"), "gap_seconds",
         (F.col("change") == "repeated").alias("unchanged"),
-    )
+    ))
     kinds = ("frames", "trades", "heartbeats", "quotes")
     at = frames.groupBy(*keys, F.col("receipt_us").alias("t")).agg(
         F.count(F.lit(1)).alias("frames"), F.count_if(F.col("channel").isin("matches", "trade")).alias("trades"),
@@ -146,8 +148,8 @@ def stale_intervals(changes: DataFrame, frames: DataFrame, keys: Sequence[str],
     both = at.select(*keys, "t", F.lit(1).alias("_o"), *kinds, F.lit(None).cast("bigint").alias("quote_index"), F.lit(None).cast("int").alias("edge")).unionAll(
         ends.select(*keys, "t", (F.col("edge") * 2).alias("_o"), *[F.lit(0).cast("bigint") for _ in kinds], "quote_index", "edge")
     )
-    cut, track = sliced(both, keys, ["t", "_o"], "t", slice_us)
-    summed = carry(cut, track, sums={f"_{k}": F.col(k) for k in kinds}).where("edge IS NOT NULL")
+    probes, track = sliced(cut(both), keys, ["t", "_o"], "t", slice_us)
+    summed = carry(probes, track, sums={f"_{k}": F.col(k) for k in kinds}).where("edge IS NOT NULL")
     within = summed.groupBy(*keys, "quote_index").agg(
         *[
             (F.sum(F.when(F.col("edge") == 0, F.col(f"_{k}")).otherwise(-F.col(f"_{k}")))).alias(k)

@@ -94,31 +94,28 @@ def lead_lag(
 
 
 def moves(grid: DataFrame, attempt: str = "attempt_id") -> DataFrame:
-    """Price changes between neighbouring accepted points (gaps are bridged) and the change that preceded each."""
+    """Price changes between neighbouring accepted points (gaps are bridged) and the change that follows each."""
     accepted = grid.where(~F.col("is_rejected")).select(attempt, "cell", "cb_mid", "kr_mid")
-    cut, track = sliced(accepted, [attempt], ["cell"], "cell", CELLS)
+    placed, track = sliced(accepted, [attempt], ["cell"], "cell", CELLS)
     mids = F.struct("cb_mid", "kr_mid")
-    once = carry(cut, track, before={"_p": mids})
-    once = once.withColumn("cb_move", F.col("cb_mid") - F.col("_p.cb_mid")).withColumn(
-        "kr_move", F.col("kr_mid") - F.col("_p.kr_mid")
-    )
-    twice = carry(once, track, before={"_m": F.struct("cb_move", "kr_move")})
-    return twice.select(
-        attempt, "cell", "cb_move", "kr_move",
-        F.col("_m.cb_move").alias("cb_move_before"), F.col("_m.kr_move").alias("kr_move_before"),
+    near = carry(placed, track, before={"_p": mids}, after={"_n": mids})
+    return near.select(
+        attempt, "cell",
+        (F.col("cb_mid") - F.col("_p.cb_mid")).alias("cb_move"), (F.col("kr_mid") - F.col("_p.kr_mid")).alias("kr_move"),
+        (F.col("_n.cb_mid") - F.col("cb_mid")).alias("cb_next"), (F.col("_n.kr_mid") - F.col("kr_mid")).alias("kr_next"),
     )
 
 
 def leaders(grid: DataFrame, config: SyncConfig, attempt: str = "attempt_id") -> DataFrame:
     """First movers, simultaneous moves, and how often the other venue follows in the same direction next."""
     cb, kr = F.col("cb_move"), F.col("kr_move")
-    cb0, kr0 = F.col("cb_move_before"), F.col("kr_move_before")
+    cb_next, kr_next = F.col("cb_next"), F.col("kr_next")
     counts = moves(grid, attempt).groupBy(attempt).agg(
         F.count_if((cb != 0) & (kr == 0)).alias("coinbase_first_count"),
         F.count_if((kr != 0) & (cb == 0)).alias("kraken_first_count"),
         F.count_if((cb != 0) & (kr != 0)).alias("simultaneous_count"),
-        F.count_if((cb0 != 0) & (kr0 == 0) & (kr != 0) & (cb0 * kr > 0)).alias("_cb_followed"),
-        F.count_if((kr0 != 0) & (cb0 == 0) & (cb != 0) & (kr0 * cb > 0)).alias("_kr_followed"),
+        F.count_if((cb != 0) & (kr == 0) & (cb * kr_next > 0)).alias("_cb_followed"),
+        F.count_if((kr != 0) & (cb == 0) & (kr * cb_next > 0)).alias("_kr_followed"),
         F.count(F.lit(1)).alias("effective_sample_count"),
     ).where(F.col("effective_sample_count") > ENOUGH_ROWS)
     share = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))

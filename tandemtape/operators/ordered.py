@@ -42,17 +42,21 @@ def carry(
     *,
     before: Mapping[str, Column | tuple[Column, Column]] | None = None,
     upto: Mapping[str, Column | tuple[Column, Column]] | None = None,
+    after: Mapping[str, Column | tuple[Column, Column]] | None = None,
     sums: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add order-dependent columns in one pass.
 
-    ``before``: value at the latest earlier row, ``upto``: value at the latest row up to the current one; each may be
-    a pair (value, condition) to look only at rows meeting the condition.  ``sums``: running total, current included;
+    ``before``: value at the latest earlier row, ``upto``: value at the latest row up to the current one, ``after``:
+    value at the earliest later row; each may be a pair (value, condition) to look only at rows meeting the condition.  ``sums``: running total, current included;
     ``totals``: total over the whole sequence.
+
+    ``df`` is read twice, once for the slice rows: hand in a scan or a cut table, not a long pipeline.
     """
-    before, upto, sums, totals = dict(before or {}), dict(upto or {}), dict(sums or {}), dict(totals or {})
-    looks = {**before, **upto}
+    before, upto, after = dict(before or {}), dict(upto or {}), dict(after or {})
+    sums, totals = dict(sums or {}), dict(totals or {})
+    looks = {**before, **upto, **after}
     position = F.struct(*[F.col(c) for c in track.order])
     seen: dict[str, Column] = {}
     for name, spec in looks.items():
@@ -61,25 +65,35 @@ def carry(
         seen[name] = F.when(where, boxed) if where is not None else boxed
 
     tails = df.groupBy(*track.keys, track.slice).agg(
-        *[F.max(F.when(box.isNotNull(), F.struct(position.alias("p"), box.alias("b")))).alias(f"_t_{n}")
+        *[(F.min if n in after else F.max)(F.when(box.isNotNull(), F.struct(position.alias("p"), box.alias("b")))).alias(f"_t_{n}")
           for n, box in seen.items()],
         *[F.sum(v).alias(f"_s_{n}") for n, v in {**sums, **totals}.items()],
     )
     earlier = (
         Window.partitionBy(*track.keys).orderBy(track.slice).rowsBetween(Window.unboundedPreceding, -1)
     )
+    later = Window.partitionBy(*track.keys).orderBy(track.slice).rowsBetween(1, Window.unboundedFollowing)
+    beyond = lambda n: (
+        F.first(F.col(f"_t_{n}.b"), ignorenulls=True).over(later) if n in after
+        else F.last(F.col(f"_t_{n}.b"), ignorenulls=True).over(earlier)
+    )
     tails = tails.select(
         *track.keys, track.slice,
-        *[F.last(F.col(f"_t_{n}.b"), ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in seen],
+        *[beyond(n).alias(f"_c_{n}") for n in seen],
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_a_{n}") for n in sums],
         *[F.sum(f"_s_{n}").over(Window.partitionBy(*track.keys)).alias(f"_a_{n}") for n in totals],
     )
     within = track.window()
     past = within.rowsBetween(Window.unboundedPreceding, -1)
     present = within.rowsBetween(Window.unboundedPreceding, 0)
+    rest = within.rowsBetween(1, Window.unboundedFollowing)
+    inside = lambda n, box: (
+        F.first(box, ignorenulls=True).over(rest) if n in after
+        else F.last(box, ignorenulls=True).over(past if n in before else present)
+    )
     joined = df.join(tails, [*track.keys, track.slice], "left")
     added = [
-        F.coalesce(F.last(box, ignorenulls=True).over(past if n in before else present), F.col(f"_c_{n}"))["v"].alias(n)
+        F.coalesce(inside(n, box), F.col(f"_c_{n}"))["v"].alias(n)
         for n, box in seen.items()
     ]
     added += [

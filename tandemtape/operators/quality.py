@@ -63,8 +63,8 @@ def proportion(a: Column, b: Column) -> Column:
 def sequence_checks(df: DataFrame, keys: Sequence[str], value: str, order: str = "record_index") -> DataFrame:
     """Observations, surplus ids, reversals and jumps of more than one along record order."""
     seen = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("bigint").alias("_v"))
-    cut, track = sliced(seen, keys, [order], order)
-    step = carry(cut, track, before={"_p": F.col("_v")}).groupBy(*keys).agg(
+    placed, track = sliced(seen, keys, [order], order)
+    step = carry(placed, track, before={"_p": F.col("_v")}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
         F.count_if(F.col("_v") < F.col("_p")).alias("reversals"),
         F.count_if(F.col("_v") > F.col("_p") + 1).alias("jumps"),
@@ -77,8 +77,8 @@ def sequence_checks(df: DataFrame, keys: Sequence[str], value: str, order: str =
 
 def receipt_order(frames: DataFrame, keys: Sequence[str], ts: str = "receipt_us", order: str = "record_index") -> DataFrame:
     """Equal and reversed receipt times, and inter-arrival of the forward ones."""
-    cut, track = sliced(frames.select(*keys, order, ts), keys, [order], order)
-    return carry(cut, track, before={"_p": F.col(ts)}).withColumn(
+    placed, track = sliced(frames.select(*keys, order, ts), keys, [order], order)
+    return carry(placed, track, before={"_p": F.col(ts)}).withColumn(
         "interarrival_ms", F.when(F.col(ts) >= F.col("_p"), (F.col(ts) - F.col("_p")) / 1000.0)
     ).withColumn("is_equal", F.col(ts) == F.col("_p")).withColumn("is_reversed", F.col(ts) < F.col("_p")).drop("_slice", "_p")
 
@@ -100,8 +100,8 @@ def receipt_metrics(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def exchange_order(events: DataFrame, keys: Sequence[str], ts: str = "ts_us", frame: str = "record_index", child: str = "child_index") -> DataFrame:
     """Events equal to or earlier than the last event of the frame before theirs."""
     last = events.groupBy(*keys, frame).agg(F.max(F.struct(child, ts))[ts].alias("_last"))
-    cut, track = sliced(last, keys, [frame], frame)
-    before = carry(cut, track, before={"_p": F.col("_last")}).select(*keys, frame, "_p")
+    placed, track = sliced(last, keys, [frame], frame)
+    before = carry(placed, track, before={"_p": F.col("_last")}).select(*keys, frame, "_p")
     return events.join(before, [*keys, frame]).groupBy(*keys).agg(
         F.count_if(F.col(ts) == F.col("_p")).alias("equal_exchange_times"),
         F.count_if(F.col(ts) < F.col("_p")).alias("reversed_exchange_times"),
@@ -112,8 +112,8 @@ def quote_changes(quotes: DataFrame, keys: Sequence[str], order: str = "record_i
     """Per quote: what changed against the quote before, and the time since it."""
     state = F.struct("bid_price", "bid_size", "ask_price", "ask_size", F.col(receipt).alias("at"))
     columns = [*keys, order, receipt, "bid_price", "bid_size", "ask_price", "ask_size"]
-    cut, track = sliced(quotes.select(*columns), keys, [order], order)
-    rows = carry(cut, track, before={"_p": state})
+    placed, track = sliced(quotes.select(*columns), keys, [order], order)
+    rows = carry(placed, track, before={"_p": state})
     was = lambda c: F.col(c) == F.col(f"_p.{c}")
     bid, ask = was("bid_price") & was("bid_size"), was("ask_price") & was("ask_size")
     return rows.withColumn(
@@ -385,8 +385,8 @@ def archive_check(frames: DataFrame, shards: DataFrame, keys: Sequence[str] = ("
 
     ``shards`` has one row per session and shard with ``record_count`` and ``byte_size``.
     """
-    cut, track = sliced(frames, keys, ["record_index"], "record_index")
-    linked = carry(cut, track, before={"_p": F.col("record_index")})
+    placed, track = sliced(frames, keys, ["record_index"], "record_index")
+    linked = carry(placed, track, before={"_p": F.col("record_index")})
     expected = F.coalesce(F.col("_p") + 1, F.lit(0))
     index = linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("records_checked"), F.count_if(F.col("record_index") != expected).alias("index_mismatches")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.operators.ordered import carry, haloed, longest_run, sliced
 from tandemtape.operators.sync import CELLS, SyncConfig, as_of, finest_step, measures, rejection
+from tandemtape.session import cut
 
 MINIMUM_OBSERVATIONS = 300
 
@@ -91,23 +92,23 @@ def anchored_returns(fine: DataFrame, spec: SeriesSpec, step_ms: int, attempt: s
 
 
 def labelled(anchors: DataFrame, spec: SeriesSpec, attempt: str = "attempt_id") -> DataFrame:
-    """Accepted anchors numbered in order, with gap flag, valid-run id and gap-free segment id."""
+    """Accepted anchors numbered in order, with gap flag, valid-run id and gap-free segment id; a cut table."""
     keys = [attempt, "configuration_id"]
     accepted = anchors.where("accepted")
-    cut, track = sliced(accepted, keys, ["cell"], "cell", CELLS)
-    linked = carry(cut, track, before={"_t": F.col("anchor_us")})
+    rows, track = sliced(accepted, keys, ["cell"], "cell", CELLS)
+    linked = cut(carry(rows, track, before={"_t": F.col("anchor_us")}))
     step = (F.col("anchor_us") - F.col("_t")) / 1000.0
     linked = linked.withColumn("step_ms", step).withColumn(
         "is_gap", F.coalesce(F.col("step_ms") > 3.0 * spec.sampling_ms, F.lit(False))
     )
-    return carry(
+    return cut(carry(
         linked, track,
         sums={
             "seq": F.lit(1).cast("bigint"),
             "run": (~F.col("valid")).cast("bigint"),
             "segment": F.col("is_gap").cast("bigint"),
         },
-    ).drop("_t", "_slice")
+    ).drop("_t", "_slice"))
 
 
 def runs(rows: DataFrame, attempt: str = "attempt_id") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tandemtape.functions.quantiles import exact_quantiles
 from tandemtape.operators.ordered import Track, carry
 from tandemtape.schemas import VENUE_1, VENUE_2
+from tandemtape.session import cut
 
 CELLS = 1 << 16
 
@@ -118,9 +119,13 @@ def last_per_cell(
 def as_of(
     quotes: DataFrame, bounds: DataFrame, step_ms: int, attempt: str = "attempt_id", tie: str = "record_index"
 ) -> DataFrame:
-    """Backward as-of join of both venues onto the lattice; no tolerance is applied here."""
+    """Backward as-of join of both venues onto the lattice; no tolerance is applied here.
+
+    The bounds, the reduced quotes and the finished lattice are cut: each is read more than once.
+    """
+    bounds = cut(bounds)
     cells = lattice(bounds, step_ms, attempt)
-    last = last_per_cell(quotes, bounds, step_ms, attempt, tie)
+    last = cut(last_per_cell(quotes, bounds, step_ms, attempt, tie))
     kind = last.schema["_q1"].dataType
     both = cells.select(
         attempt, "_slice", "cell", F.lit(True).alias("_grid"), "anchor_us", "start_us", "end_us",
@@ -138,11 +143,11 @@ def as_of(
             "q1": (F.col("_q1"), F.col("_q1").isNotNull()), "q2": (F.col("_q2"), F.col("_q2").isNotNull()),
         },
     ).where("_grid")
-    return filled.select(
+    return cut(filled.select(
         attempt, "cell", "anchor_us", "start_us", "end_us",
         F.col("q1.ts_us").alias("cb_ts_us"), F.col("q1.mid").alias("cb_mid"),
         F.col("q2.ts_us").alias("kr_ts_us"), F.col("q2.mid").alias("kr_mid"),
-    )
+    ))
 
 
 def measures(grid: DataFrame) -> DataFrame:

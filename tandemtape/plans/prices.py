@@ -24,8 +24,8 @@ block("q1", "SELECT attempt_id, ts_us, arg_max((bid_price + ask_price) / 2.0, re
 block("q2", "SELECT attempt_id, ts_us, arg_max((bid_price + ask_price) / 2.0, record_index) AS mid FROM ticks WHERE venue = 'kraken' GROUP BY 1, 2")
 
 
-def grid_sql(step: int, trim: int) -> str:
-    return f"""
+def grid_sql(step: int, trim: int, a: str = "q1", b: str = "q2") -> str:
+    text = f"""
   SELECT a.attempt_id, a.cell, a.anchor_us, a.start_us, a.end_us, q1.ts_us AS cb_ts_us, q1.mid AS cb_mid, q2.ts_us AS kr_ts_us, q2.mid AS kr_mid,
     (a.anchor_us - q1.ts_us) / 1000.0 AS cb_age_ms, (a.anchor_us - q2.ts_us) / 1000.0 AS kr_age_ms,
     q1.mid - q2.mid AS signed_spread, abs(q1.mid - q2.mid) AS absolute_spread, (q1.mid - q2.mid) / q2.mid * 10000 AS signed_spread_bps
@@ -33,6 +33,7 @@ def grid_sql(step: int, trim: int) -> str:
         FROM (SELECT *, unnest(generate_series(0, (end_us - start_us - 2 * {trim}) // {step})) AS cell FROM bounds WHERE end_us - {trim} > start_us + {trim})) a
   ASOF LEFT JOIN q1 ON a.attempt_id = q1.attempt_id AND a.anchor_us >= q1.ts_us
   ASOF LEFT JOIN q2 ON a.attempt_id = q2.attempt_id AND a.anchor_us >= q2.ts_us"""
+    return text.replace("q1", a).replace("q2", b)
 
 
 def reason_sql(stale: float, tol: float, enforce: bool) -> str:

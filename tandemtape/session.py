@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a table that several later steps read, so its lineage ends at files every executor can reach."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table that several later steps read to the shared folder and read it back.
+
+    Its lineage ends at files every executor can reach, so a lost executor costs no recomputation, and later scans still
+    prune columns.  Runs at once.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(root)
+    return spark.read.schema(df.schema).parquet(root)

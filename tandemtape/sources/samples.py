@@ -174,8 +174,8 @@ def trend_sql() -> str:
 
 def trend(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes whose log price follows one common walk per attempt plus noise; both venues observe it."""
-    cut, track = sliced(base(spark, folder), ["attempt_id"], ["record_index"], "record_index")
+    placed, track = sliced(base(spark, folder), ["attempt_id"], ["record_index"], "record_index")
     one = F.lit(1).cast("bigint")
-    summed = carry(cut, track, sums={"running": F.col("cents"), "nth": one}, totals={"whole": F.col("cents"), "n": one})
+    summed = carry(placed, track, sums={"running": F.col("cents"), "nth": one}, totals={"whole": F.col("cents"), "n": one})
     rows = spark.sql(trend_sql().replace("FROM summed", "FROM {summed}"), summed=summed)
     return rows.withColumns({"bid_price": F.col("price"), "ask_price": F.col("price")})
