@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions import payload as P
 from tandemtape.functions.quantiles import exact_quantiles
+from tandemtape.operators import identity
 from tandemtape.operators.ordered import carry, sliced
 from tandemtape.schemas import VENUE_1, VENUE_2
+from tandemtape.session import cut
 
 
 @dataclass(frozen=True)
@@ -60,10 +62,10 @@ def proportion(a: Column, b: Column) -> Column:
     return F.least(F.greatest(ratio(a, b), F.lit(0.0)), F.lit(1.0))
 
 
-def sequence_checks(df: DataFrame, keys: Sequence[str], value: str, order: str = "record_index") -> DataFrame:
+def sequence_checks(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] = ("record_index",)) -> DataFrame:
     """Observations, surplus ids, reversals and jumps of more than one along record order."""
-    seen = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("bigint").alias("_v"))
-    placed, track = sliced(seen, keys, [order], order)
+    seen = df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).try_cast("bigint").alias("_v"))
+    placed, track = sliced(seen, keys, order, order[0])
     step = carry(placed, track, before={"_p": F.col("_v")}).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
         F.count_if(F.col("_v") < F.col("_p")).alias("reversals"),
@@ -108,11 +110,11 @@ def exchange_order(events: DataFrame, keys: Sequence[str], ts: str = "ts_us", fr
     )
 
 
-def quote_changes(quotes: DataFrame, keys: Sequence[str], order: str = "record_index", receipt: str = "receipt_us") -> DataFrame:
+def quote_changes(quotes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("record_index",), receipt: str = "receipt_us") -> DataFrame:
     """Per quote: what changed against the quote before, and the time since it."""
     state = F.struct("bid_price", "bid_size", "ask_price", "ask_size", F.col(receipt).alias("at"))
-    columns = [*keys, order, receipt, "bid_price", "bid_size", "ask_price", "ask_size"]
-    placed, track = sliced(quotes.select(*columns), keys, [order], order)
+    columns = [*keys, *order, receipt, "bid_price", "bid_size", "ask_price", "ask_size"]
+    placed, track = sliced(quotes.select(*columns), keys, order, order[0])
     rows = carry(placed, track, before={"_p": state})
     was = lambda c: F.col(c) == F.col(f"_p.{c}")
     bid, ask = was("bid_price") & was("bid_size"), was("ask_price") & was("ask_size")
@@ -159,7 +161,7 @@ def raw_quote_shape(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
         ~first & (P.text_of(body, "channel") == "ticker"),
         F.filter(F.try_variant_get(body, "$.data", "array<variant>"), lambda r: P.kind(r) == "OBJECT"),
     )
-    rows = classified.select(*keys, "venue", F.explode(records).alias("r"))
+    rows = classified.select(*dict.fromkeys([*keys, "venue"]), F.explode(records).alias("r"))
     pick = lambda a, b: F.when(first, P.number_of(F.col("r"), a)).otherwise(P.number_of(F.col("r"), b))
     bid, ask = pick("best_bid", "bid"), pick("best_ask", "ask")
     bid_size, ask_size = pick("best_bid_size", "bid_qty"), pick("best_ask_size", "ask_qty")
@@ -234,6 +236,47 @@ def coverage(classified: DataFrame, trades: DataFrame, quotes: DataFrame, keys:
     )
 
 
+EVENT_ORDER = ("record_index", "child_index")
+
+
+def session_metrics(
+    classified: DataFrame, trades: DataFrame, quotes: DataFrame, archive: DataFrame, policy: QualityPolicy,
+    keys: Sequence[str] = ("session_id", "venue"),
+) -> DataFrame:
+    """One metric row per session, joined from aggregates that each scan their table once.
+
+    ``classified`` needs ``frame_hash`` and ``receipt_us``; ``trades`` and ``quotes`` are market records with times in
+    microseconds; ``archive`` is the archive check with ``archive_valid`` and ``manifest_records``.
+    """
+    keys = list(keys)
+    shape = raw_quote_shape(classified, keys)
+    # What the many aggregates below need, parsed once.
+    classified = cut(classified.select(*keys, "record_index", "receipt_us", "frame_hash", "result_kind", "raw_frame_byte_length"))
+    trades = cut(trades.select(*keys, *EVENT_ORDER, "ts_us", "receipt_us", "trade_id", "source_sequence", "price", "quantity", "aggressor_side"))
+    quotes = cut(quotes.select(*keys, *EVENT_ORDER, "ts_us", "receipt_us", "bid_price", "bid_size", "ask_price", "ask_size"))
+    copies = classified.groupBy(*keys, "frame_hash").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.sum(F.col("_n") - 1).alias("raw_duplicate_count"), F.sum("_n").alias("_all")
+    ).select(*keys, "raw_duplicate_count", proportion(F.col("raw_duplicate_count"), F.col("_all")).alias("raw_duplicate_rate"))
+    content = F.concat_ws("|", "price", "quantity", "aggressor_side", F.col("ts_us").cast("string"))
+    repeats = identity.trade_id_repeats(trades, keys, content, EVENT_ORDER).withColumn(
+        "duplicate_trade_id_rate", proportion(F.col("duplicate_trade_id_count"), F.greatest(F.col("trades"), F.lit(1)))
+    ).drop("trades")
+    sequences = sequence_checks(trades, keys, "source_sequence", EVENT_ORDER)
+    events = trades.select(*keys, *EVENT_ORDER, "ts_us", "receipt_us").unionAll(
+        quotes.select(*keys, *EVENT_ORDER, "ts_us", "receipt_us")
+    )
+    changes = quote_changes(quotes, keys, EVENT_ORDER)
+    parts = [
+        copies, repeats, sequences, receipt_metrics(classified, keys), exchange_order(events, keys), delta_metrics(events, keys),
+        quote_metrics(changes, keys, policy.stale_quote_seconds), shape,
+    ]
+    out = coverage(classified, trades, quotes, keys)
+    for part in parts:
+        out = out.join(part, keys, "left")
+    out = out.join(archive.select("session_id", "archive_valid", "manifest_records"), "session_id", "left")
+    return out.withColumns({"writer_failures": F.lit(0), "missing_exchange_rate": F.lit(0.0)}).na.fill(0)
+
+
 # One rule per finding: id, category, severity, metric, observed value, threshold, breach.
 def _rules(policy: QualityPolicy) -> list[tuple]:
     c, zero = F.col, F.lit(0.0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +87,19 @@ def anchored_returns(fine: DataFrame, spec: SeriesSpec, step_ms: int, attempt: s
         .where("_own")
         .where(past_trim % (spec.sampling_ms // step_ms) == 0)
         .select(
-            attempt, F.lit(spec.name).alias("configuration_id"), "cell", "anchor_us", "accepted", "valid",
+            attempt, F.lit(spec.name).alias("configuration_id"), F.lit(spec.sampling_ms).cast("bigint").alias("sampling_ms"),
+            F.lit(spec.horizon_ms).cast("bigint").alias("horizon_ms"), "cell", "anchor_us", "accepted", "valid",
             "cb_mid", "kr_mid", "cb_return", "kr_return",
         )
     )
 
 
-def labelled(anchors: DataFrame, spec: SeriesSpec, attempt: str = "attempt_id") -> DataFrame:
+def configured(fine: DataFrame, specs: Sequence[SeriesSpec], step_ms: int, attempt: str = "attempt_id") -> DataFrame:
+    """Anchors of several configurations in one table, so what follows runs once over all of them."""
+    return reduce(DataFrame.unionByName, [anchored_returns(fine, s, step_ms, attempt) for s in specs])
+
+
+def labelled(anchors: DataFrame, attempt: str = "attempt_id") -> DataFrame:
     """Accepted anchors numbered in order, with gap flag, valid-run id and gap-free segment id; a cut table."""
     keys = [attempt, "configuration_id"]
     accepted = anchors.where("accepted")
@@ -99,7 +107,7 @@ def labelled(anchors: DataFrame, spec: SeriesSpec, attempt: str = "attempt_id")
     linked = cut(carry(rows, track, before={"_t": F.col("anchor_us")}))
     step = (F.col("anchor_us") - F.col("_t")) / 1000.0
     linked = linked.withColumn("step_ms", step).withColumn(
-        "is_gap", F.coalesce(F.col("step_ms") > 3.0 * spec.sampling_ms, F.lit(False))
+        "is_gap", F.coalesce(F.col("step_ms") > 3.0 * F.col("sampling_ms"), F.lit(False))
     )
     return cut(carry(
         linked, track,
@@ -127,10 +135,10 @@ def segments(rows: DataFrame, attempt: str = "attempt_id") -> DataFrame:
     return best.join(start, [*keys, "run_start"])
 
 
-def diagnostics(anchors: DataFrame, rows: DataFrame, spec: SeriesSpec, minimum: int = MINIMUM_OBSERVATIONS, attempt: str = "attempt_id") -> DataFrame:
+def diagnostics(anchors: DataFrame, rows: DataFrame, minimum: int = MINIMUM_OBSERVATIONS, attempt: str = "attempt_id") -> DataFrame:
     """Series diagnostics and the sample gate.  ``missing_share`` is gaps over transitions, not missing points."""
     keys = [attempt, "configuration_id"]
-    offered = anchors.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_synchronized_rows"))
+    offered = anchors.groupBy(*keys, "sampling_ms", "horizon_ms").agg(F.count(F.lit(1)).alias("input_synchronized_rows"))
     counted = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("accepted_input_rows"), F.count_if("valid").alias("usable_return_pairs"),
         F.count_if("is_gap").alias("gap_count"), F.max("step_ms").alias("maximum_gap"),
@@ -143,8 +151,7 @@ def diagnostics(anchors: DataFrame, rows: DataFrame, spec: SeriesSpec, minimum:
     enough = n >= 2
     return joined.select(
         *keys,
-        F.lit(spec.sampling_ms).cast("bigint").alias("sampling_interval_ms"),
-        F.lit(spec.horizon_ms).cast("bigint").alias("return_horizon_ms"),
+        F.col("sampling_ms").alias("sampling_interval_ms"), F.col("horizon_ms").alias("return_horizon_ms"),
         "input_synchronized_rows", n.alias("accepted_input_rows"),
         F.coalesce("usable_return_pairs", F.lit(0)).alias("usable_return_pairs"),
         F.coalesce("gap_count", F.lit(0)).alias("gap_count"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tandemtape.plans import frames, models, prices  # noqa: F401
+from tandemtape.plans import frames, models, prices, quality  # noqa: F401
 from tandemtape.plans.registry import ORACLES, QUERIES
 
 

@@ -26,7 +26,7 @@ def fine(spark, folder) -> DataFrame:
 def labelled(spark, folder, spec=BASELINE, grid: DataFrame | None = None):
     grid = fine(spark, folder) if grid is None else grid
     anchors = series.anchored_returns(grid, spec, STEP_MS)
-    return anchors, series.labelled(anchors, spec)
+    return anchors, series.labelled(anchors)
 
 
 # --- SQL blocks ------------------------------------------------------------------------------------------------------
@@ -101,12 +101,9 @@ _ALL_ANCHORS = " UNION ALL ".join(f"SELECT '{s.name}' AS configuration_id, * FRO
     round(sum(y1) FILTER (accepted), 7) + 0.0 AS cb_sum, round(sum(y2) FILTER (accepted), 7) + 0.0 AS kr_sum FROM ({_ALL_ANCHORS}) GROUP BY 1, 2"""))
 def configured_returns(spark, folder):
     grid = fine(spark, folder)
-    out = None
-    for spec in SPECS:
-        rows = series.anchored_returns(grid, spec, STEP_MS).where("accepted")
-        out = rows if out is None else out.unionByName(rows)
+    rows = series.configured(grid, SPECS, STEP_MS).where("accepted")
     return rounded(
-        out.groupBy("configuration_id", "attempt_id").agg(
+        rows.groupBy("configuration_id", "attempt_id").agg(
             F.count(F.lit(1)).alias("anchors"), F.count_if("valid").alias("returns"), F.sum("cb_return").alias("cb_sum"), F.sum("kr_return").alias("kr_sum")
         ), 7)
 
@@ -123,7 +120,7 @@ def configured_returns(spark, folder):
   JOIN runs r USING (attempt_id) JOIN segs s USING (attempt_id)"""))
 def series_diagnostics(spark, folder):
     anchors, rows = labelled(spark, folder)
-    return rounded(series.diagnostics(anchors, rows, BASELINE))
+    return rounded(series.diagnostics(anchors, rows))
 
 
 @query("longest_runs", using(SERIES, """
@@ -305,13 +302,10 @@ def price_discovery_shares(spark, folder):
 
 def robustness_rows(spark, folder, grid: DataFrame | None = None) -> DataFrame:
     grid = fine(spark, folder) if grid is None else grid
-    found, lines = None, None
-    for spec in SPECS:
-        anchors, rows = labelled(spark, folder, spec, grid)
-        d, r = series.diagnostics(anchors, rows, spec), series.model_returns(rows)
-        found = d if found is None else found.unionByName(d)
-        lines = r if lines is None else lines.unionByName(r)
-    return econometrics.stability(found, econometrics.return_models(lines), SPECS)
+    anchors = cut(series.configured(grid, SPECS, STEP_MS))
+    rows = series.labelled(anchors)
+    models = econometrics.return_models(series.model_returns(rows))
+    return econometrics.stability(series.diagnostics(anchors, rows), models, SPECS)
 
 
 @query("stability_by_configuration")
