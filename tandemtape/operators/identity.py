@@ -243,20 +243,21 @@ def consecutive_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return totals.join(best.select(*keys, F.col("run_length").alias("longest_run")), list(keys))
 
 
-def chain_breaks(events: DataFrame, campaign: str, genesis: str) -> DataFrame:
+def chain_breaks(
+    events: DataFrame, campaign: str, genesis: str, order: str = "event_index", number: str = "event_index"
+) -> DataFrame:
     """Ledger rows that break the hash chain: index not next, previous hash wrong, or own hash not the recomputed one.
 
-    Needs ``event_index``, ``previous_hash``, ``event_hash`` and ``canonical_payload``.
+    Needs ``previous_hash``, ``event_hash`` and ``canonical_payload``; ``order`` is the position in the file, ``number`` the
+    index the event claims.
     """
-    placed, track = sliced(events, [campaign], ["event_index"], "event_index")
-    linked = carry(
-        placed, track, before={"_hash": F.col("event_hash"), "_index": F.col("event_index")},
-    )
+    placed, track = sliced(events, [campaign], [order], order)
+    linked = carry(placed, track, before={"_hash": F.col("event_hash"), "_index": F.col(number)})
     expected_index = F.coalesce(F.col("_index") + 1, F.lit(0))
     return (
         linked.select(
-            campaign, "event_index",
-            (F.col("event_index") != expected_index).alias("index_mismatch"),
+            campaign, order,
+            (F.col(number) != expected_index).alias("index_mismatch"),
             (F.col("previous_hash") != F.coalesce("_hash", F.lit(genesis))).alias("previous_mismatch"),
             (F.col("event_hash") != F.sha2("canonical_payload", 256)).alias("hash_mismatch"),
         )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tandemtape.plans import frames, models, prices, quality  # noqa: F401
+# Order matters: later modules build on SQL blocks of earlier ones.
+from tandemtape.plans import frames, prices, models, quality, campaigns, streams  # noqa: F401, I001
 from tandemtape.plans.registry import ORACLES, QUERIES
 
 
