@@ -65,17 +65,32 @@ def ratio(a: Column, b: Column) -> Column:
     Decimal division keeps too few places at this width, so the quotient is built as a whole part and two blocks of
     nine digits, each from the exact remainder of the one before.
     """
+    # Widths are chosen so that no product or difference below passes 38 digits and gets rounded.
     block = F.lit(10**9).cast("decimal(10,0)")
 
     def split(state: Column) -> Column:
         """Whole quotient of rest / by, and the exact remainder."""
+        by = state["by"]
+
+        def settle(guess: Column) -> Column:
+            # The quotient was rounded before its floor was taken, so it may be one too high.
+            over = guess["rest"] < 0
+            return F.struct(
+                (guess["q"] - over.cast("int")).cast("decimal(18,0)").alias("q"),
+                (guess["rest"] + F.when(over, by).otherwise(F.lit(0).cast("decimal(18,9)"))).cast("decimal(18,9)").alias("rest"),
+                by.alias("by"),
+            )
+
         return bind(
-            F.floor(state["rest"] / state["by"]).cast("decimal(20,0)"),
-            lambda q: F.struct(q.alias("q"), (state["rest"] - q * state["by"]).cast("decimal(20,9)").alias("rest"), state["by"].alias("by")),
+            bind(
+                F.floor(state["rest"] / by).cast("decimal(18,0)"),
+                lambda q: F.struct(q.alias("q"), (state["rest"] - q * by).cast("decimal(20,9)").alias("rest")),
+            ),
+            settle,
         )
 
     def shift(state: Column) -> Column:
-        return F.struct((state["rest"] * block).cast("decimal(31,9)").alias("rest"), state["by"].alias("by"))
+        return F.struct((state["rest"] * block).cast("decimal(28,9)").alias("rest"), state["by"].alias("by"))
 
     def joined(whole: Column, first: Column, second: Column) -> Column:
         twice = (second["rest"] * 2).cast("decimal(22,9)")
@@ -86,8 +101,8 @@ def ratio(a: Column, b: Column) -> Column:
             + ((second["q"].cast("decimal(10,0)") + up.cast("int")) * F.lit("0.000000000000000001").cast("decimal(18,18)")).cast("decimal(30,18)")
         ).cast(STORED)
 
-    wide = lambda c: F.abs(c.cast("decimal(20,9)"))
-    start = F.struct(wide(a).alias("rest"), F.nullif(wide(b), F.lit(0).cast("decimal(20,9)")).alias("by"))
+    wide = lambda c: F.abs(c.cast(WORKING))
+    start = F.struct(wide(a).alias("rest"), F.nullif(wide(b), F.lit(0).cast(WORKING)).alias("by"))
     size = bind(
         start,
         lambda s: bind(split(s), lambda w: bind(split(shift(w)), lambda f: bind(split(shift(f)), lambda g: joined(w, f, g)))),

@@ -161,11 +161,13 @@ RETURN_MODELS = (
 
 
 def _return_models(config: ModelConfig):
+    names = [part.split()[0] for part in _top_level(RETURN_MODELS)]
+
     def solve(row) -> dict:
         g = WindowedGram(row.n, row.sums, row.products, row.edge_pos, row.edge_1, row.edge_2)
         base = row.configuration_id == "baseline"
         order = (2, 1) if row.configuration_id == "kraken_first" else (1, 2)
-        out = {
+        out = dict.fromkeys(names) | {
             "attempt_id": row.attempt_id, "configuration_id": row.configuration_id, "n": row.n, "flat": row.flat,
             "adf": [], "granger": [], "irf": [], "regressions": [], "fit_status": "MODEL_INVALID",
         }
@@ -219,10 +221,8 @@ def _return_models(config: ModelConfig):
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in _top_level(RETURN_MODELS)]
         for batch in batches:
-            rows = [solve(row) for row in batch.itertuples(index=False)]
-            frame = pd.DataFrame(rows).reindex(columns=names)
+            frame = pd.DataFrame([solve(row) for row in batch.itertuples(index=False)], columns=names)
             for c in ("lag", "nobs", "n"):
                 frame[c] = frame[c].astype("Int64")
             yield frame

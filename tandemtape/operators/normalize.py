@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tandemtape import schemas as S
 from tandemtape.functions import numbers as N
 from tandemtape.operators import identity, parsing
+from tandemtape.session import cut
 
 
 def prepare(archive: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def outcomes(prepared: DataFrame) -> DataFrame:
 
 
 def tables(archive: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
-    ready = prepare(archive, sessions)
+    """The three tables from one parse: the prepared frames are cut, as each table reads them."""
+    ready = cut(prepare(archive, sessions))
     return {"trades": trades(ready), "top_of_book": quotes(ready), "raw_record_outcomes": outcomes(ready)}
 
 

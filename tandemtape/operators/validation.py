@@ -115,8 +115,8 @@ def time_diagnostics(rows: DataFrame, keys: Sequence[str], ts: str = "ts_us") ->
     )
 
 
-def readiness(overlaps: DataFrame, dataset_valid: Column | bool = True, attempt: str = "attempt_id") -> DataFrame:
-    """Attempt rows with their validity flag and reason, and the set's flags on every row's right."""
+def readiness(overlaps: DataFrame, attempt: str = "attempt_id") -> DataFrame:
+    """Attempts with their validity flag and the reason when not valid."""
     enough = F.col("overlap_seconds") >= MINIMUM_ATTEMPT_OVERLAP_S
     return overlaps.select(
         attempt, F.round("overlap_seconds", 6).alias("overlap_seconds"), enough.alias("is_valid"),

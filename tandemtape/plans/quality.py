@@ -35,6 +35,11 @@ def events(spark, folder) -> DataFrame:
     return market_rows(spark, folder, "trade").select(*columns).unionAll(market_rows(spark, folder, "quote").select(*columns))
 
 
+def _coverage(spark, folder) -> DataFrame:
+    once = cut(classified(spark, folder).drop("payload"))
+    return quality.coverage(once, parsing.market_records(once, "trade"), parsing.market_records(once, "quote"))
+
+
 def archive_state(spark, folder) -> DataFrame:
     """Manifest as the archive was written: its own counts, so index gaps are what the check finds."""
     rows = frames(spark, folder)
@@ -110,7 +115,7 @@ SM = MARKET + " seqs receipts exch qchg qmet shape delt cov reps dups sm"
     first_market_us, last_market_us, first_quote_us, last_quote_us, round(frames / duration_seconds, 9) AS frames_per_second, round(trades / duration_seconds, 9) AS trades_per_second,
     round(quotes / duration_seconds, 9) AS quotes_per_second, round(parse_errors / frames, 9) AS parse_error_rate, round(unsupported_messages / frames, 9) AS unsupported_rate FROM cov"""))
 def session_coverage(spark, folder):
-    return rounded(quality.coverage(classified(spark, folder), market_rows(spark, folder, "trade"), quotes(spark, folder)), 9)
+    return rounded(_coverage(spark, folder), 9)
 
 
 @query("sequence_continuity", using(MARKET + " seqs", "SELECT * FROM seqs"))
@@ -276,7 +281,7 @@ def aggregate_quality(spark, folder):
 @query("venue_event_rates", using(MARKET + " cov", """
   SELECT venue, round(avg(trades / duration_seconds + quotes / duration_seconds), 9) AS event_rate FROM cov GROUP BY 1"""))
 def venue_event_rates(spark, folder):
-    return rounded(quality.venue_event_rates(quality.coverage(classified(spark, folder), market_rows(spark, folder, "trade"), quotes(spark, folder))), 9)
+    return rounded(quality.venue_event_rates(_coverage(spark, folder)), 9)
 
 
 @query("policy_comparison", using(SM + " found found_plain", """
