@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.operators import econometrics, inference, moments, series, sync
 from tandemtape.plans.prices import CONFIG, UNIT, grid_sql
-from tandemtape.plans.registry import block, query, rounded, using
+from tandemtape.plans.registry import block, query, rounded, stage, using
 from tandemtape.session import cut
 from tandemtape.sources import samples
 
@@ -17,15 +17,22 @@ STEP_MS = 300_000
 
 
 def fine(spark, folder) -> DataFrame:
-    quotes = samples.trend(spark, folder)
-    rows, step = series.support(quotes, sync.overlap(quotes), CONFIG, SPECS)
-    assert step == STEP_MS
-    return rows
+    """The finest lattice all configurations draw from."""
+
+    def build():
+        quotes = samples.trend(spark, folder)
+        rows, step = series.support(quotes, sync.overlap(quotes), CONFIG, SPECS)
+        assert step == STEP_MS
+        return rows
+
+    return stage(spark, folder, "lattice", build)
 
 
 def labelled(spark, folder, spec=BASELINE, grid: DataFrame | None = None):
     grid = fine(spark, folder) if grid is None else grid
     anchors = series.anchored_returns(grid, spec, STEP_MS)
+    if spec is BASELINE:
+        return anchors, stage(spark, folder, "baseline_series", lambda: series.labelled(anchors))
     return anchors, series.labelled(anchors)
 
 
@@ -156,12 +163,16 @@ def returns(spark, folder, grid=None) -> DataFrame:
     return series.model_returns(rows)
 
 
+def baseline_models(spark, folder) -> DataFrame:
+    return stage(spark, folder, "return_models", lambda: econometrics.return_models(returns(spark, folder)))
+
+
 def estimates(spark, folder) -> dict[str, DataFrame]:
     """Everything of the baseline; the two tables several estimates read are materialised once."""
     grid = fine(spark, folder)
     _, rows = labelled(spark, folder, BASELINE, grid)
     ret = series.model_returns(rows)
-    models = cut(econometrics.return_models(ret))
+    models = baseline_models(spark, folder)
     coint = cut(econometrics.cointegration(econometrics.level_models(series.model_levels(rows))))
     return {"returns": ret, "models": models, "coint": coint, "grid": grid}
 
@@ -187,22 +198,22 @@ def lagged_cross_products(spark, folder):
 
 @query("unit_root_tests")
 def unit_root_tests(spark, folder):
-    return econometrics.stationarity(econometrics.return_models(returns(spark, folder)))
+    return econometrics.stationarity(baseline_models(spark, folder))
 
 
 @query("vector_autoregression")
 def vector_autoregression(spark, folder):
-    return econometrics.var_table(econometrics.return_models(returns(spark, folder)))
+    return econometrics.var_table(baseline_models(spark, folder))
 
 
 @query("granger_causality")
 def granger_causality(spark, folder):
-    return inference.false_discovery(econometrics.granger(cut(econometrics.return_models(returns(spark, folder)))))
+    return inference.false_discovery(econometrics.granger(baseline_models(spark, folder)))
 
 
 @query("impulse_responses")
 def impulse_responses(spark, folder):
-    return econometrics.impulse_responses(econometrics.return_models(returns(spark, folder)))
+    return econometrics.impulse_responses(baseline_models(spark, folder))
 
 
 def _regression_sql(name: str, p: str, o: str) -> str:
@@ -227,8 +238,7 @@ for _name, _p, _o in (("kraken_predicts_coinbase", "y2", "y1"), ("coinbase_predi
     SERIES + " model pairs_kraken_predicts_coinbase pairs_coinbase_predicts_kraken",
     _regression_sql("kraken_predicts_coinbase", "y2", "y1") + " UNION ALL " + _regression_sql("coinbase_predicts_kraken", "y1", "y2")))
 def predictive_regressions(spark, folder):
-    ret = cut(returns(spark, folder))
-    out = econometrics.predictive_regressions(ret, econometrics.return_models(ret))
+    out = econometrics.predictive_regressions(returns(spark, folder), baseline_models(spark, folder))
     return out.select(
         "attempt_id", "direction", (F.round("coefficient", 6) + 0.0).alias("coefficient"), F.round("standard_error", 6).alias("standard_error"),
         (F.round("t_statistic", 5) + 0.0).alias("t_statistic"), "effective_sample_count",
@@ -300,8 +310,12 @@ def price_discovery_shares(spark, folder):
     return rounded(econometrics.price_discovery(coint).drop("kraken_value"), 4)
 
 
-def robustness_rows(spark, folder, grid: DataFrame | None = None) -> DataFrame:
-    grid = fine(spark, folder) if grid is None else grid
+def robustness_rows(spark, folder) -> DataFrame:
+    return stage(spark, folder, "stability", lambda: _robustness(spark, folder))
+
+
+def _robustness(spark, folder) -> DataFrame:
+    grid = fine(spark, folder)
     anchors = cut(series.configured(grid, SPECS, STEP_MS))
     rows = series.labelled(anchors)
     models = econometrics.return_models(series.model_returns(rows))
@@ -350,7 +364,7 @@ def attempt_summary(spark, folder):
 def figure_tables(spark, folder):
     p = _report_parts(spark, folder)
     summary = cut(inference.attempt_summary(p["coint"], p["var"], p["granger"], p["discovery"], p["regressions"]))
-    tables = inference.figure_tables(summary, p["irf"], robustness_rows(spark, folder, p["grid"]))
+    tables = inference.figure_tables(summary, p["irf"], robustness_rows(spark, folder))
     faults = inference.summary_faults(summary)
     out = faults.select(F.lit("fault").alias("figure"), "attempt_id", F.concat_ws(",", "faults").alias("item"), F.lit(None).cast("double").alias("value"))
     t = tables

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemtape.operators import identity, investigation, parsing, quality
-from tandemtape.plans.frames import MARKET, PARSE, frames, market_rows
-from tandemtape.plans.registry import block, query, rounded, using
+from tandemtape.plans.frames import MARKET, PARSE, frames
+from tandemtape.plans.registry import block, query, rounded, stage, using
 from tandemtape.session import cut
 from tandemtape.sources import samples
 
@@ -22,7 +22,13 @@ def classified(spark, folder) -> DataFrame:
         "frame_hash": identity.frame_hash(F.col("venue"), F.col("frame_type"), F.col("raw_frame")),
         "receipt_us": F.unix_micros("local_receipt_ts"),
     })
-    return parsing.classify(hashed)
+    return stage(spark, folder, "classified", lambda: parsing.classify(hashed))
+
+
+def market_rows(spark, folder, kind: str) -> DataFrame:
+    return parsing.market_records(classified(spark, folder), kind).withColumns(
+        {"ts_us": F.unix_micros("event_ts"), "receipt_us": F.unix_micros("local_receipt_ts")}
+    )
 
 
 def quotes(spark, folder) -> DataFrame:
@@ -36,7 +42,7 @@ def events(spark, folder) -> DataFrame:
 
 
 def _coverage(spark, folder) -> DataFrame:
-    once = cut(classified(spark, folder).drop("payload"))
+    once = classified(spark, folder)
     return quality.coverage(once, parsing.market_records(once, "trade"), parsing.market_records(once, "quote"))
 
 
@@ -46,13 +52,18 @@ def archive_state(spark, folder) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("manifest_records")).withColumn("archive_valid", F.lit(True))
 
 
-def metrics(spark, folder, policy=POLICY) -> DataFrame:
-    frames_once = cut(classified(spark, folder))
+def metrics(spark, folder) -> DataFrame:
+    """Session metrics; both policies share the stale threshold they depend on."""
+    return stage(spark, folder, "session_metrics", lambda: _metrics(spark, folder))
+
+
+def _metrics(spark, folder) -> DataFrame:
+    frames_once = classified(spark, folder)
     exact = lambda rows, names: rows.withColumns({c: F.col(c).try_cast("decimal(38,18)") for c in names})
     timed = lambda kind: parsing.market_records(frames_once, kind).withColumn("ts_us", F.unix_micros("event_ts"))
     trades = exact(timed("trade"), ("price", "quantity"))
     quoted = exact(timed("quote"), ("bid_price", "bid_size", "ask_price", "ask_size"))
-    return cut(quality.session_metrics(frames_once, trades, quoted, archive_state(spark, folder), policy))
+    return quality.session_metrics(frames_once, trades, quoted, archive_state(spark, folder), POLICY)
 
 
 _W = "WINDOW w AS (PARTITION BY session_id ORDER BY record_index, child_index)"
@@ -222,7 +233,7 @@ _OUT = "session_id, venue, finding_id, category, severity, round(observed_value,
 
 
 def _found(spark, folder, policy) -> DataFrame:
-    out = quality.findings(metrics(spark, folder, policy), policy)
+    out = quality.findings(metrics(spark, folder), policy)
     return rounded(out.select("session_id", "venue", "finding_id", "category", "severity", "observed_value", "threshold"))
 
 

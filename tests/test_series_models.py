@@ -170,7 +170,7 @@ def test_predictive_regression_against_direct_sandwich(spark, fitted):
 
 
 def test_constant_series_is_invalid(spark):
-    df = spark.createDataFrame([("a", "baseline", i, 400, 0.0, float(i % 7)) for i in range(400)], "attempt_id string, configuration_id string, pos long, n long, y1 double, y2 double")
+    df = spark.createDataFrame([("a", "baseline", i, 400, 0.0, float(v)) for i, v in enumerate(np.random.default_rng(4).normal(size=400))], "attempt_id string, configuration_id string, pos long, n long, y1 double, y2 double")
     models = econometrics.return_models(df)
     row = models.collect()[0]
     assert row.fit_status == "MODEL_INVALID" and row.lag is None
