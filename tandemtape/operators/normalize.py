@@ -16,9 +16,11 @@ def prepare(archive: DataFrame, sessions: DataFrame) -> DataFrame:
 
     ``archive`` needs the archive columns, ``session_id`` and ``shard_path``; ``sessions`` is one row per session.
     """
-    marked = identity.frame_duplicates(archive)
+    # Numbering copies shuffles the frames; parsing starts again from the written result.
+    marked = cut(identity.frame_duplicates(archive))
     known = [c for c in S.FROM_METADATA + ["source_shard_sha256"] if c in sessions.columns]
-    return parsing.classify(marked).join(sessions.select("session_id", *known), "session_id", "left")
+    parsed = parsing.classify(marked).drop("payload", "raw_frame")
+    return parsed.join(sessions.select("session_id", *known), "session_id", "left")
 
 
 def _lineage(df: DataFrame) -> dict[str, Column]:
