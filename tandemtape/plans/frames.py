@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandemtape import schemas as S
 from tandemtape.functions import numbers as N
 from tandemtape.operators import identity, inference, normalize, parsing
-from tandemtape.plans.registry import block, query, scratch, using
+from tandemtape.plans.registry import block, query, scratch, stage, using
 from tandemtape.session import cut
 from tandemtape.sources import archive as archive_source
 from tandemtape.sources import samples, tables
@@ -46,7 +46,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize.prepare(frames(spark, folder), sessions(spark, folder))
+    build = lambda: normalize.prepare(frames(spark, folder), sessions(spark, folder))
+    return stage(spark, folder, "prepared", build)
 
 
 def classified(spark: SparkSession, folder: str) -> DataFrame:
