@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemtape.llm import linededup, mixing, sharding
-from tandemtape.llm.registry import query, table
+from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
 @query("op1_kd_shards")

@@ -45,15 +45,14 @@ class Tree:
         if not depth:
             return F.lit(0)
 
-        def table(values, kind="int"):
-            return F.array(*[F.lit(v).cast(kind) for v in values])
-
-        dim, at, left, right = table(self.dim), table(self.cut, "long"), table(self.left), table(self.right)
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(depth)),
-            F.lit(0),
-            lambda node, _: F.when(F.get(F.col("_k"), F.get(dim, node) - 1) <= F.get(at, node), F.get(left, node)).otherwise(F.get(right, node)),
-        )
+        dim, at, left, right = (f"array({', '.join(f'{v}{kind}' for v in values)})" for values, kind in ((self.dim, ""), (self.cut, "L"), (self.left, ""), (self.right, "")))
+        step = f"IF(get(_k, get({dim}, node) - 1) <= get({at}, node), get({left}, node), get({right}, node))"
+        return F.expr(f"aggregate(sequence(1, {depth}), 0, (node, step) -> {step})")
+
+
+def _of(values: dict, key: str, kind: str = "") -> Column:
+    """The value of a key, for a few keys known beforehand."""
+    return F.expr(f"element_at(map({', '.join(f'{k}, {v!r}{kind}' for k, v in values.items())}), {key})")
 
 
 def _hash_coordinate(column: str) -> Column:
@@ -96,10 +95,8 @@ def _fit(units: DataFrame, total: int, shards: int, tolerance: float) -> tuple[T
             if not state:
                 break
             step = min(DIGIT, rest)
-            wanted = F.create_map(*[x for n, v in state.items() for x in (F.lit(n), F.lit(v[0]).cast("long"))])
-            chosen = F.create_map(*[F.lit(x) for n in state for x in (n, dim[n])])
-            rows = here.where(F.col("_node").isin(list(state))).withColumn("_dim", F.element_at(chosen, F.col("_node")))
-            rows = rows.withColumn("_key", F.get("_k", F.col("_dim"))).where(F.shiftright("_key", rest) == F.element_at(wanted, F.col("_node")))
+            rows = here.where(F.col("_node").isin(list(state))).withColumn("_dim", _of({n: dim[n] for n in state}, "_node"))
+            rows = rows.withColumn("_key", F.get("_k", F.col("_dim"))).where(F.shiftright("_key", rest) == _of({n: v[0] for n, v in state.items()}, "_node", "L"))
             goals = {n: v[3] - v[1] for n, v in state.items()}
             for r in _buckets(rows, bits, step, None, goals).collect():  # one row per open node
                 prefix, below, _, goal = state[r["_node"]]
@@ -116,7 +113,7 @@ def _buckets(rows: DataFrame, done: int, step: int, share: dict | None, goals: d
     sums = rows.groupBy("_node", "_dim", F.shiftright("_key", 63 - done - step).bitwiseAND(2**step - 1).alias("digit")).agg(F.sum("_w").alias("w"))
     whole = Window.partitionBy("_node", "_dim")
     order = whole.orderBy("digit")
-    of_node = F.element_at(F.create_map(*[x for n, v in (share or goals).items() for x in (F.lit(n), F.lit(float(v)))]), F.col("_node"))
+    of_node = _of({n: float(v) for n, v in (share or goals).items()}, "_node", "D")
     summed = sums.select(
         "_node", "_dim", "digit", "w", F.sum("w").over(order).alias("upto"), F.lead("digit").over(order).alias("next"),
         (F.max("digit").over(whole) - F.min("digit").over(whole)).alias("span"), (of_node * F.sum("w").over(whole) if share else of_node).alias("goal"),
@@ -125,7 +122,7 @@ def _buckets(rows: DataFrame, done: int, step: int, share: dict | None, goals: d
     return summed.where(reached | F.col("next").isNull() & (F.col("upto") < F.col("goal")))
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, group_share: float = 0.02, tolerance: float = 0.002, rows_per_part: int = 200_000) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, group_share: float = 0.02, tolerance: float = 0.005, rows_per_part: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; law is ``bytes``: shards are of nearly equal size.
 
     Size is the UTF-8 length of the text (none for null) plus 16.  A shard differs from its share by at most the largest unit
@@ -157,7 +154,7 @@ def kd_shards(docs: DataFrame, shards: int = 40, group_share: float = 0.02, tole
     )
     units = cut(units.withColumn("_k", F.transform("_c", lambda c: F.shiftleft(c, TIE_BITS).bitwiseOR(tie))))
     tree, depth = _fit(units, total, shards, tolerance)
-    placed = units.select("_u", F.get(F.array(*[F.lit(x) for x in tree.first]), tree.walk(depth)).alias("shard"))
+    placed = units.select("_u", F.get(F.expr(f"array({', '.join(map(str, tree.first))})"), tree.walk(depth)).alias("shard"))
     parts = parts_for(count, shards * rows_per_part)
     sharded = cut(rows.join(placed, "_u").withColumn("_part", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(parts))).withColumn("_one", F.lit(1)))
     slots = running(sharded, ["shard"], "_part", [F.col("doc_id"), F.col("_h")], "_one", "slot")
