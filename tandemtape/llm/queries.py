@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, sharding
+from tandemtape.llm import linededup, mixing, sharding, templates, toxicity
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -15,6 +15,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.kd_shards(table(spark, folder, "documents"), shards=40)
 
 
+@query("op3_toxicity_kernel")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents; the fold with remainder 0 is held out."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_template_leaks")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names or units: one row per document and item."""
+    return templates.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("_th")
+
+
 OP6_SQL = r"""
 WITH split AS (
   SELECT doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
