@@ -94,7 +94,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
         while top >= low:  # from the largest doc_id down
             runs.add(lines.where((F.col("did") <= top) & (F.col("did") > top - width)) if top - width >= LEAST_ID else lines.where(F.col("did") <= top))
             top -= width
-        often = runs.frequent(least_docs).select(*KEY, "holder")
+        often = cut(runs.frequent(least_docs).select(*KEY, "holder"))
         drops = lines.join(often, KEY).where(F.col("did") < F.col("holder")).groupBy("did", "th").agg(F.collect_list("pos").alias("drops"))
     else:
         drops = lines.groupBy("did", "th").agg(F.collect_list("pos").alias("drops"))

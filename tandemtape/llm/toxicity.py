@@ -1,13 +1,18 @@
-"""Toxicity by a subsequence string kernel, a Nyström map and a linear support vector machine.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 The kernel of two strings sums over their common subsequences of three characters, each occurrence weighted by ``DECAY`` to the
-length it spans, so ``idxiot`` and ``id.i.ot`` stay close to ``idiot``.  Landmarks are the words most tied to the label and
-frequent words as background, both counted on the training rows.  A sentence is described by its words' kernels with every
-landmark, the largest per landmark; a document by the largest over its sentences, since labels are given per document.  The
-Nyström map K^(-1/2) turns these into features, a squared-hinge machine with class weights is fitted on them, and a logistic curve over its margin
-gives the score.
-
-The training rows are a hash sample of at most about ``most_rows`` labelled documents; everything else covers all rows.
+length it spans, normalised and squared, so ``idxiot`` and ``id.i.ot`` stay close to ``idiot``.  Landmarks are the words most tied to the label and
+frequent words as background, both counted on the training rows.  The Nyström map K^(-1/2) turns a string's kernels with the
+landmarks into features, and a linear machine weighs them.  Its strings are the words of a sentence; a sentence, and so a
+document, is as toxic as its worst word.
+
+Labels are given per document, so training is by witnesses: a toxic document stands for those of its words that are, under
+the machine so far, worse than nearly all of clean documents, a clean one for all its words nearest to the landmarks.  After each
+fit the witnesses are chosen anew.  A toxic document without a witness is taken for a wrong label and left out; the toxic
+landmarks of six letters or more are added as toxic with one letter inserted (shorter ones come too near to harmless words).  A logistic curve over the margins of all training documents gives the score.
+
+The training rows are a hash sample of about ``most_rows`` labelled documents, of which near copies count once; everything else
+covers all rows.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemtape.llm.common import text_of
+from tandemtape.session import cut
 
 DECAY, LENGTH, WIDE, STEP = 0.75, 3, 24, 12
 CACHE = 300_000
@@ -65,173 +71,223 @@ def codes(strings: list[str]) -> np.ndarray:
 
 
 def kernel(x: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The kernel of every row of character codes (0 pads) with one string, or with the rows of a second array."""
-    n, wide = x.shape
-    rows = other.ndim == 2
-    long = int((x != 0).sum(1).max(initial=0))
-    of = [other[:, j] if rows else other[j] for j in range(other.shape[-1])]
-    if not rows:
-        of = [c for c in of if c]
-    # before[j]: weight of the common subsequences so far that could be followed by a match of the next x character with of[j].
+    """The kernel of every row of character codes (0 pads) with one string, or with the same row of a second array."""
+    n = len(x)
+    other = other.T if other.ndim == 2 else other[other != 0][:, None]
+    d, many = np.float32(DECAY), len(other)
+    after = np.arange(many)[:, None] - np.arange(many)[None, :] - 1
+    spread = np.where(after >= 0, DECAY ** np.maximum(after, 0), 0).astype(np.float32)
     total = np.zeros(n, np.float32)
-    d = np.float32(DECAY)
-    state = [[np.zeros(n, np.float32) for _ in of] for _ in range(LENGTH - 1)]
-    for i in range(long):
+    # state[k][j]: weight of common subsequences of k + 1 characters that end before both characters, decayed up to them.
+    state = [np.zeros((many, n), np.float32) for _ in range(LENGTH - 1)]
+    for i in range(int((x != 0).sum(1).max(initial=0))):
         c = x[:, i]
-        matches = [np.where((c == o) & (c != 0), np.float32(1), np.float32(0)) for o in of]
-        ends: list[list[np.ndarray]] = [[] for _ in range(LENGTH)]
-        for j, m in enumerate(matches):
-            ends[0].append(m * (d * d))
-            for k in range(1, LENGTH):
-                # state[k-1][j]: subsequences of length k that end before both characters, decayed up to them.
-                ends[k].append(m * state[k - 1][j] * (d * d))
-            total += ends[LENGTH - 1][j]
+        match = ((other == c) & (c != 0)).astype(np.float32) * (d * d)
+        ends = [match] + [match * s for s in state]
+        total += ends[-1].sum(0)
         for k in range(LENGTH - 1):
-            inside = np.zeros(n, np.float32)
-            for j in range(len(of)):
-                old = state[k][j] * d + inside
-                inside = inside * d + ends[k][j]
-                state[k][j] = old
+            state[k] *= d
+            state[k] += spread @ ends[k]
     return total
 
 
 class Features:
-    """Normalised kernels with the landmarks; a pair that shares under ``SHARE`` of the landmark's different letters counts as 0."""
+    """Squares of the normalised kernels with the landmarks.
+
+    Values under ``FLOOR`` count as 0, and so do pairs that share under ``SHARE`` of the landmark's different letters.  A string's
+    kernel with itself is at least that of its positions with themselves, so most pairs are seen to be under the floor without it.
+    """
 
-    SHARE = 0.6
+    SHARE, FLOOR = 0.6, 0.05
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = codes(landmarks)
-        self.own = np.sqrt(np.maximum(kernel(self.codes, self.codes), 1e-12))
+        self.own = np.maximum(kernel(self.codes, self.codes), 1e-12)
         self.letters = [np.unique(c[c != 0]) for c in self.codes]
+        spans = [sum((n - s + 1) * (s - 2) * DECAY ** (2 * s) for s in range(LENGTH, n + 1)) for n in range(WIDE + 1)]
+        self.least = np.maximum(np.array(spans), 1e-12)
 
     def of(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
-        short = np.fromiter(map(len, strings), np.int64, len(strings))
-        for lo, hi in ((LENGTH, 8), (9, 14), (15, WIDE)):
-            at = np.flatnonzero((short >= lo) & (short <= hi))
-            for start in range(0, len(at), 20_000):
-                chunk = at[start : start + 20_000]
+        long = np.fromiter(map(len, strings), np.int64, len(strings))
+        for lo, hi in ((LENGTH, 7), (8, 11), (12, 16), (17, WIDE)):
+            at = np.flatnonzero((long >= lo) & (long <= hi))
+            for start in range(0, len(at), 16_384):
+                chunk = at[start : start + 16_384]
                 x = codes([strings[i] for i in chunk])[:, :hi]
                 # A bit per letter class: 64 classes by code, so a missing bit is a missing letter.
                 bits = np.zeros(len(x), np.uint64)
                 for i in range(hi):
                     bits |= np.where(x[:, i] != 0, np.left_shift(np.uint64(1), (x[:, i] % 64).astype(np.uint64)), np.uint64(0))
-                own = None
+                least, raw = self.least[long[chunk]], np.zeros((len(x), len(self.landmarks)), np.float32)
                 for j, letters in enumerate(self.letters):
                     shared = sum(((bits >> np.uint64(c % 64)) & np.uint64(1)).astype(np.int8) for c in letters)
                     near = np.flatnonzero(shared >= np.ceil(self.SHARE * len(letters)))
-                    if not len(near):
-                        continue
-                    values = kernel(x[near], self.codes[j])
-                    hit = values > 0
-                    near, values = near[hit], values[hit]
-                    if own is None:
-                        own = np.full(len(x), -1, np.float32)
-                    new = near[own[near] < 0]
-                    if len(new):
-                        own[new] = np.sqrt(np.maximum(kernel(x[new], x[new]), 1e-12))
-                    out[chunk[near], j] = values / (own[near] * self.own[j])
+                    if len(near):
+                        value = np.square(kernel(x[near], self.codes[j])) / self.own[j]
+                        raw[near, j] = np.where(value >= self.FLOOR * least[near], value, 0)
+                hit = np.flatnonzero(raw.any(1))
+                if len(hit):
+                    value = raw[hit] / np.maximum(kernel(x[hit], x[hit]), 1e-12)[:, None]
+                    out[chunk[hit]] = np.where(value >= self.FLOOR, value, 0)
         return out
 
 
 class Reader:
-    """Pooled kernels of texts; words met before are remembered, up to a bound."""
+    """Kernel rows of words; with weights, the worst margin of texts.  Words met before are remembered, up to a bound."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray | None = None):
+        self.features, self.weights = Features(landmarks), weights
+        self.margin: dict[str, float] = {}
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The kernels of each word, the largest of its pieces where it is long."""
+        where: dict[str, int] = {}
+        short, long = [], []
+        for i, word in enumerate(words):
+            word = plain(word)
+            if LENGTH <= len(word) <= WIDE:
+                short.append((i, where.setdefault(word, len(where))))
+            elif len(word) > WIDE:
+                long.append((i, [where.setdefault(p, len(where)) for p in pieces(word)]))
+        values = self.features.of(list(where))
+        out = np.zeros((len(words), len(self.features.landmarks)), np.float32)
+        if short:
+            at, of = np.array(short).T
+            out[at] = values[of]
+        for i, of in long:
+            out[i] = values[of].max(0)
+        return out
 
-    def __init__(self, landmarks: list[str]):
-        self.features, self.m = Features(landmarks), len(landmarks)
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1, self.m), np.float32)  # row 0: no likeness
-
-    def pooled(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.m), np.float32)
-        for start in range(0, len(texts), 256):
-            sets = [words_of(t) for t in texts[start : start + 256]]
-            if len(self.seen) > CACHE:
-                self.forget()
-            self._learn(set().union(*sets).difference(self.seen))
-            for i, words in enumerate(sets):
-                at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-                at = np.unique(at[at > 0])
-                if len(at):
-                    out[start + i] = self.rows[at].max(0)
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The largest margin of a word, without the constant; 0 for a text without words."""
+        out = np.zeros(len(texts))
+        for batch in batched(texts):
+            sets = [words_of(texts[i]) for i in batch]
+            if len(self.margin) > CACHE:
+                self.margin = {}
+            fresh = list(set().union(*sets).difference(self.margin))
+            self.margin.update(zip(fresh, (self.rows(fresh) @ self.weights).tolist()))
+            for i, words in zip(batch, sets):
+                if words:
+                    out[i] = max(map(self.margin.__getitem__, words))
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        fresh = list(words)
-        whole = [p for w in map(plain, fresh) for p in [pieces(w)]]
-        flat = list({p for ps in whole for p in ps if len(p) >= LENGTH})
-        values = self.features.of(flat)
-        where = dict(zip(flat, range(len(flat))))
-        keep, new = len(self.rows), []
-        for w, ps in zip(fresh, whole):
-            at = [where[p] for p in ps if len(p) >= LENGTH]
-            row = values[at[0]] if len(at) == 1 else values[at].max(0) if at else None
-            if row is None or not row.any():
-                self.seen[w] = 0
-            else:
-                self.seen[w] = keep + len(new)
-                new.append(row)
-        if new:
-            self.rows = np.vstack([self.rows, np.array(new, np.float32)])
-
-
-def fit(x: np.ndarray, y: np.ndarray, landmarks: list[str], ridge: float = 1e-3) -> dict:
-    """Nyström map, squared-hinge machine by Newton steps, logistic curve; folded into weights on the pooled kernels."""
-    own = Features(landmarks).of(landmarks)
-    values, vectors = np.linalg.eigh((own + own.T) / 2.0)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    z = np.hstack([x.astype(np.float64) @ root, np.ones((len(x), 1))])
-    sign = np.where(y > 0, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    def hard(self, texts: list[str], toxic: int, most: int = 6) -> list[np.ndarray]:
+        """Per text the kernels of the words nearest to the first ``toxic`` landmarks."""
+        found = []
+        for batch in batched(texts):
+            sets = [sorted(words_of(texts[i])) for i in batch]
+            words = sorted(set().union(*sets))
+            rows, where = self.rows(words), dict(zip(words, range(len(words))))
+            near = rows[:, :toxic].max(1, initial=0)
+            for own in sets:
+                at = np.array([where[w] for w in own], np.int64)
+                found.append(rows[at[np.argsort(-near[at], kind="stable")[:most]]] if len(at) else np.zeros((1, rows.shape[1]), np.float32))
+        return found
+
+
+def batched(texts: list[str], chars: int = 4_000_000) -> Iterator[list[int]]:
+    """Positions of consecutive texts of about so many characters."""
+    batch, size = [], 0
+    for i, t in enumerate(texts):
+        batch.append(i)
+        size += len(t) + 1
+        if size >= chars:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
+def machine(z: np.ndarray, sign: np.ndarray, ridge: float) -> np.ndarray:
+    """Squared-hinge support vector machine with equal class weights, by Newton steps; the last weight is the constant."""
+    z = np.hstack([z, np.ones((len(z), 1))])
+    weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1))
+    penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-8)
     w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
-    penalty[-1] = 1e-8
     for _ in range(50):
         slack = np.maximum(0, 1 - sign * (z @ w))
         active = slack > 0
         gradient = penalty * w - z.T @ (weight * sign * slack)
-        hessian = np.diag(penalty) + (z[active] * weight[active, None]).T @ z[active]
-        step = np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve(np.diag(penalty) + (z[active] * weight[active, None]).T @ z[active], gradient)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    margin = z @ w
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        design = np.stack([margin, np.ones_like(margin)], 1)
-        gradient = design.T @ (p - y) / len(y) + np.array([1e-6 * a, 0])
-        hessian = (design * (p * (1 - p))[:, None]).T @ design / len(y) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    return w
+
+
+def logistic(margin: np.ndarray, y: np.ndarray) -> float:
+    """Slope of the logistic curve that passes the machine's boundary at one half."""
+    a = 1.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * margin, -30, 30)))
+        step = ((p - y) @ margin / len(y)) / ((p * (1 - p)) @ np.square(margin) / len(y) + 1e-6)
+        a = max(a - np.clip(step, -1, 1), 0.1)
+        if abs(step) < 1e-8:
+            break
+    return a
+
+
+def disguised(word: str, inserted: str = "xqz") -> list[str]:
+    """The word with one letter put between two of its letters, as writers do to pass a filter."""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in inserted]
+
+
+def fit(bags: list[np.ndarray], y: np.ndarray, landmarks: list[str], toxic: int, ridge: float = 1e-3, rounds: int = 4) -> dict:
+    """The machine over witnesses; Nyström map and logistic curve are folded into the weights on the kernels."""
+    features = Features(landmarks)
+    own = features.of(landmarks).astype(float)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    bags = [b.astype(float) @ root for b in bags]
+    start = np.concatenate([np.full(toxic, 1.0), np.zeros(len(landmarks) - toxic)])
+    w = np.append(np.linalg.solve(root, start), 0.0)
+    clean = np.vstack([b for b, t in zip(bags, y) if not t])
+    extra = np.zeros((0, len(landmarks))) if max(map(len, landmarks[:toxic])) < 6 else features.of([v for word in landmarks[:toxic] if len(word) > 5 for v in disguised(word)]).astype(float) @ root
+    for _ in range(rounds):
+        worst = np.array([(b @ w[:-1]).max() for b in bags])
+        bar = np.quantile(worst[y == 0], 0.98)
+        witness = [row for b, t, m in zip(bags, y, worst) if t and m > bar for row in b[b @ w[:-1] > bar]]
+        if not witness:
             break
-    return {"landmarks": landmarks, "weights": root @ w[:-1] * a, "bias": float(a * w[-1] + b)}
+        z = np.vstack([np.array(witness), extra, clean])
+        w = machine(z, np.where(np.arange(len(z)) < len(witness) + len(extra), 1.0, -1.0), ridge)
+    margin = np.array([max(0.0, (b @ w[:-1]).max()) for b in bags]) + w[-1]
+    # At most one clean training document in a thousand may pass, but half of what toxic ones reach must.
+    shift = np.clip(np.quantile(margin[y == 0], 0.999), 0, max(0.0, float(np.median(margin[(y == 1) & (margin > 0)])) / 2 if ((y == 1) & (margin > 0)).any() else 0.0))
+    w[-1] -= shift
+    a = logistic(margin - shift, y)
+    return {"landmarks": landmarks, "weights": root @ w[:-1] * a, "bias": float(a * w[-1])}
+
+
+def score_of(model: dict, reader: Reader | None, texts: list[str]) -> np.ndarray:
+    margin = (reader.worst(texts) if reader else np.zeros(len(texts))) + model["bias"]
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def score_of(model: dict, pooled: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(pooled @ model["weights"] + model["bias"], -30, 30)))
+def reader_of(model: dict) -> Reader | None:
+    return Reader(model["landmarks"], model["weights"]) if model["landmarks"] else None
 
 
 def held_out(folds: int = 5):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, toxic_landmarks: int = 24, background: int = 8) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, toxic_landmarks: int = 24, background: int = 4) -> dict:
     """A model from labelled rows outside the held-out fold.  Without both classes it gives the training rows' share of toxic ones."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = marks.count()
     slot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     sample = F.broadcast(marks.where(slot < min(1_000_000, int(1_000_000 * most_rows / max(count, 1)))))  # about most_rows rows
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(sample, "doc_id")
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")))
-    counted = rows.select("toxic", F.explode(words).alias("word")).where(F.length("word").between(LENGTH, WIDE)).groupBy("word")
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(sample, "doc_id").withColumn("words", words)
+    # Near copies agree on three minima of word hashes nearly always; of rows that do, the smallest doc_id stands for all.
+    minima = [F.array_min(F.transform("words", lambda w, s=s: F.xxhash64(w, F.lit(s)))) for s in range(3)]
+    one = rows.groupBy(*minima, "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = cut(rows.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    counted = rows.select("toxic", F.explode("words").alias("word")).where(F.length("word").between(LENGTH + 1, WIDE)).groupBy("word")
     counted = counted.agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -240,20 +296,21 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, toxic_lan
         return flat
     base = bad / (bad + good)
     tied = (F.col("t") - F.lit(base) * (F.col("t") + F.col("c"))) / F.sqrt(F.lit(base * (1 - base)) * (F.col("t") + F.col("c")))
-    counted = counted.where((F.col("t") + F.col("c")) >= 3)
-    chosen = [r["word"] for r in counted.orderBy(tied.desc(), "word").limit(toxic_landmarks).collect()]
-    chosen += [r["word"] for r in counted.orderBy(F.desc("c"), "word").limit(background + len(chosen)).collect() if r["word"] not in chosen][:background]
+    ranked = counted.where(F.col("t") >= 3).select("word", tied.alias("tied")).orderBy(F.desc("tied"), "word").limit(toxic_landmarks).collect()
+    chosen = [r["word"] for r in ranked if r["tied"] >= ranked[0]["tied"] / 2]
     if not chosen:
         return flat
+    toxic = len(chosen)
+    chosen += [r["word"] for r in counted.orderBy(F.desc("c"), "word").limit(background + toxic).collect() if r["word"] not in chosen][:background]
 
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(chosen)
         for b in batches:
-            x = reader.pooled(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "toxic", "x"])
+            x = [rows.ravel() for rows in reader.hard(b.column("text").to_pylist(), toxic)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "toxic", "x"])
 
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(pool, "doc_id long, toxic int, x array<float>").toPandas().sort_values("doc_id")
-    return fit(np.vstack(got["x"].to_numpy()), got["toxic"].to_numpy().astype(float), chosen)
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(pick, "doc_id long, toxic int, x array<float>").toPandas().sort_values("doc_id")
+    return fit([np.asarray(x).reshape(-1, len(chosen)) for x in got["x"]], got["toxic"].to_numpy().astype(float), chosen, toxic)
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -265,10 +322,10 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model["landmarks"]) if model["landmarks"] else None
+        reader = reader_of(model)
         for b in batches:
             texts = b.column("text").to_pylist()
-            s = score_of(model, reader.pooled(texts) if reader else np.zeros((len(texts), 0)))
+            s = score_of(model, reader, texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of("text").alias("text"))
@@ -280,10 +337,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model["landmarks"]) if model["landmarks"] else None
+        reader = reader_of(model)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            s = score_of(model, reader.pooled(texts) if reader else np.zeros((len(texts), 0)))
+            s = score_of(model, reader, texts)
             yield b.filter(pa.array(s < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
