@@ -256,7 +256,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, landmarks: list[str], toxic: int,
         w = machine(z, np.where(np.arange(len(z)) < len(witness) + len(extra), 1.0, -1.0), ridge)
     margin = np.array([max(0.0, (b @ w[:-1]).max()) for b in bags]) + w[-1]
     # At most one clean training document in a thousand may pass, but half of what toxic ones reach must.
-    shift = np.clip(np.quantile(margin[y == 0], 0.999), 0, max(0.0, float(np.median(margin[(y == 1) & (margin > 0)])) / 2 if ((y == 1) & (margin > 0)).any() else 0.0))
+    shift = np.clip(1.1 * np.quantile(margin[y == 0], 0.999), 0, max(0.0, float(np.median(margin[(y == 1) & (margin > 0)])) / 2 if ((y == 1) & (margin > 0)).any() else 0.0))
     w[-1] -= shift
     a = logistic(margin - shift, y)
     return {"landmarks": landmarks, "weights": root @ w[:-1] * a, "bias": float(a * w[-1])}
