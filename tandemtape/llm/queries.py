@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, sharding, templates, toxicity
+from tandemtape.llm import linededup, mixing, ngramjoin, sharding, templates, toxicity
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -47,6 +47,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op7_ngram_jaccard")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
+    return ngramjoin.similar_groups(table(spark, folder, "documents"), width=4, percent=85)
+
+
 #: The oracle reshares the excess round by round, as the rule is stated, and places uses by the integral of each schedule.
 OP8_SQL = r"""
 WITH RECURSIVE sized AS (
