@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, ngramjoin, sharding, templates, toxicity
+from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, templates, toxicity
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -15,6 +15,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.kd_shards(table(spark, folder, "documents"), shards=40)
 
 
+@query("op2_inverted_multi_index")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return multiindex.search(table(spark, folder, "embeddings"))
+
+
 @query("op3_toxicity_kernel")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents; the fold with remainder 0 is held out."""
