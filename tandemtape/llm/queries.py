@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, templates, toxicity
+from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, templates, toxicity, webtext
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -91,3 +91,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes from each document."""
     planned = mixing.plan_mix(table(spark, folder, "documents"), keep=["doc_id"])
     return planned.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Article text of every page."""
+    return webtext.extract(table(spark, folder, "pages"))
