@@ -5,9 +5,7 @@ similar enough share a shingle in their prefixes, so only prefix shingles are jo
 sizes, the positions and the numbers of later shingles in each of four hash classes bound the intersection; pairs that cannot reach
 the threshold go.  A pair is verified once, on whole sets.
 
-What groups of copies would multiply is taken out first.  Equal sets are one set.  Near copies are linked by one neighbour each, in two rounds,
-and joined into components; then only pairs across components are joined in full: of a list's sets, those outside its largest
-component meet all others.  No link between components is lost, and a list whose sets are one component costs nothing more.
+Equal sets are one set before anything is joined, and near copies are linked without all their pairs (see ``linking``).
 
 Whole sets are not stored for all documents.  They are read anew from the texts of documents that share a prefix shingle; a bitmap of fixed size
 spares most of the others, and a join removes the rest.
@@ -23,10 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tandemtape.llm.common import LOWER, UPPER, WORD, text_of
-from tandemtape.llm.components import components
+from tandemtape.llm.linking import bitmap, components_of, links_of, marked, shared_lists
 from tandemtape.session import cut
 
 ASCII = str.maketrans(UPPER, LOWER)
@@ -103,9 +100,9 @@ def survey(rows: DataFrame, width: int, bits: int) -> DataFrame:
 
 def class_counts(surveyed: DataFrame, bits: int) -> np.ndarray:
     """Shingles per hash class over all documents: at most 2^bits rows of two numbers for the driver, whatever the input."""
-    got = surveyed.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    got = surveyed.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << bits, np.int32)
-    counts[got["class"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
+    counts[got["class"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
     return counts
 
 
@@ -138,18 +135,14 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int, bits
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> DataFrame:
     """key and set, as bytes, of the sets whose key is in ``wanted`` (key).  The bitmap is 2^bits bits, whatever the input."""
-    slot = f"pmod(key, {1 << bits})"
-    marks = wanted.groupBy(F.expr(f"cast(shiftright({slot}, 5) as int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 31 as int)))").alias("word")).toPandas()
-    table = np.zeros(1 << (bits - 5), np.uint32)
-    table[marks["at"].to_numpy(np.int64)] = marks["word"].to_numpy(np.int64).astype(np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, have = WordHashes(), shared.value
+        words = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 sets, numbers = _sets_of(batch.slice(start, 1000), words, width)
-                at = [i for i, k in enumerate(numbers) if len(sets[i]) and (int(have[(k % (1 << bits)) >> 5]) >> (k & 31)) & 1]
+                at = [i for i in np.flatnonzero(marked(shared.value, np.array(numbers, np.int64))) if len(sets[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["key", "set"])
 
     return rows.mapInArrow(read, "key long, set binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
@@ -167,44 +160,6 @@ def _can_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))) & enough(F.least(after(a), after(b))) & (fits | enough(suffix))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose intersection is at least ``percent`` of the union; each pair is read once."""
-    of = lambda side: sets.select(F.col("key").alias(side), F.col("set").alias(f"set_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                joined = np.concatenate((x, y))
-                joined.sort(kind="stable")
-                common = int((joined[1:] == joined[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(judge, "a long, b long")
-
-
-def _neighbours(lists: DataFrame, percent: int, part_rows: int, other) -> DataFrame:
-    """At most one pair per set: with ``other`` (a function of the window) in the first of its lists where the filters let it pass.
-
-    Lists are cut into pieces of about ``part_rows`` rows by the key, so no window holds a whole long list.
-    """
-    parted = lists.withColumn("_part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(part_rows))))
-    mine = F.struct("key", "place", "later")
-    paired = parted.select(mine.alias("x"), other(mine, Window.partitionBy("tok", "_part").orderBy("place", "key")).alias("y"))
-    paired = paired.where(F.col("y").isNotNull() & (F.col("x.key") != F.col("y.key")) & _can_link("x", "y", percent))
-    best = paired.groupBy(F.col("x.key").alias("a")).agg(F.min_by(F.col("y.key"), F.struct(F.col("x.place").bitwiseAND(0xFFFFFFFF), "y.key")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _components_of(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``keys`` with c, the component of key."""
-    named = components(links).withColumnRenamed("node", "key")
-    return keys.join(named, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-
-
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id for every row: the smallest doc_id reachable by links, its own included.
 
@@ -227,25 +182,10 @@ def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int
     every = surveyed.where(F.col("class").isNull()).select("did", "th", "n", "key")
     # Copies have equal lists; a partial aggregate in each task takes them out before the shuffle.
     lists = cut(prefixes(rows, counts, width, percent, class_bits).groupBy("tok", "key").agg(F.first("place").alias("place"), F.first("later").alias("later")))
-    sizes = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    lists = cut(lists.join(sizes, "tok"))  # a shingle of one set links nothing
+    lists = shared_lists(lists)  # a shingle of one set links nothing
     sets = cut(whole_sets(rows, lists.select("key").distinct(), width))
-    links = cut(verified(cut(_neighbours(lists, percent, part_rows, lambda row, w: F.first(row).over(w))), sets, percent))
-    placed = cut(_components_of(lists, links))
-    nearest = _neighbours(placed, percent, part_rows, lambda row, w: F.lag(row).over(w))
-    of = lambda side: placed.select(F.col("key").alias(side), F.col("c").alias(f"c_{side}")).distinct()
-    nearest = nearest.join(of("a"), "a").join(of("b"), "b").where(F.col("c_a") != F.col("c_b")).select("a", "b")
-    links = cut(links.unionByName(verified(cut(nearest), sets, percent)))
-    placed = cut(_components_of(lists, links))
-    # Pairs across components: of each list, sets outside its largest component meet all sets of other components.
-    parts = placed.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok")
-    mixed = parts.agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
-    across = cut(placed.join(mixed.select("tok", F.col("main.c").alias("main")), "tok"))
-    x, y = across.where(F.col("c") != F.col("main")).alias("x"), across.alias("y")
-    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & _can_link("x", "y", percent))
-    more = cut(met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
-    links = links.unionByName(verified(more, sets, percent))
-    return cut(_components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
+    links = links_of(lists, sets, percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
+    return cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, templates, toxicity, webtext
+from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, substrings, templates, toxicity, webtext
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -97,3 +97,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Article text of every page."""
     return webtext.extract(table(spark, folder, "pages"))
+
+
+@query("op10_paragraph_minhash")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of at least 20 words, or 32 around a seam, that several documents hold, with their clusters."""
+    return substrings.repeated_paragraphs(table(spark, folder, "documents"))
