@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, sharding, substrings, templates, toxicity, webtext
+from tandemtape.llm import linededup, mixing, multiindex, ngramjoin, ngramtrie, sharding, substrings, templates, toxicity, webtext
 from tandemtape.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -27,6 +27,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op4_elias_fano_lm")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents under the trie and the base model; the fold with remainder 2 of 7 is held out."""
+    return ngramtrie.score(table(spark, folder, "documents"))
+
+
 @query("op5_template_leaks")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, names or units: one row per document and item."""
