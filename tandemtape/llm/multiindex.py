@@ -41,7 +41,7 @@ def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
-    """Lloyd's method from a farthest-spread start; empty clusters keep their centroid."""
+    """Lloyd's method from random rows under a fixed seed; empty clusters keep their centroid."""
     pick = np.random.default_rng(7).permutation(len(x))[:size]
     centroids = x[pick].copy()
     for _ in range(rounds):
@@ -156,7 +156,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     table = spark.createDataFrame(pd.DataFrame({"cell": np.flatnonzero(counts), "first": first[counts > 0], "parts": parts[counts > 0]}), "cell int, first long, parts long")
     blocks = entries.join(F.broadcast(table), "cell").select("vec_id", "embedding", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    slices = max(1, -(-queries.count() // slice_queries))
     least = int(np.ceil(index.share * count)) + 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +175,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
                 ["query_id", "query", "block", "cells"],
             )
 
-    probes = queries.repartition(F.col("vec_id")).mapInArrow(probe, "query_id long, query array<double>, block long, cells array<int>")
+    asking = queries.count()
+    slices = max(1, -(-asking // slice_queries))
+    # A number of parts that adaptive execution does not merge: a query costs far more than its bytes tell.
+    probes = queries.repartition(max(1, -(-asking // 64)), "vec_id").mapInArrow(probe, "query_id long, query array<double>, block long, cells array<int>")
     probes = cut(probes.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices))))
     asked = probes.select("block", "slice").distinct()
 
