@@ -1,7 +1,7 @@
 """Links between sets that share an entry in candidate lists, without all pairs of a group of near copies.
 
-A list is the sets that share a token (a prefix shingle, a band).  Each set is first verified with one neighbour, in two rounds, and the links are
-joined into components.  Then only pairs across components are joined in full: of a list's sets, those outside its largest
+A list is the sets that share a token (a prefix shingle, a band).  Each set is first verified with two neighbours, and the links are joined into
+components.  Then only pairs across components are joined in full: of a list's sets, those outside its largest
 component meet all others.  No link between components is lost, and a list whose sets are one component costs nothing more.
 """
 
@@ -69,7 +69,7 @@ def _neighbours(lists: DataFrame, columns: list[str], can_link: Callable, part_r
     paired = parted.select("tok", mine.alias("x"), other(mine, Window.partitionBy("tok", "_part").orderBy(*columns, "key")).alias("y"))
     paired = paired.where(F.col("y").isNotNull() & (F.col("x.key") != F.col("y.key")) & can_link("x", "y"))
     best = paired.groupBy(F.col("x.key").alias("a")).agg(F.min_by(F.col("y.key"), F.struct("tok", "y.key")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return best
 
 
 def components_of(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -78,19 +78,23 @@ def components_of(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(named, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
 
 
-def links_of(lists: DataFrame, sets: DataFrame, percent: int, columns: list[str], can_link: Callable[[str, str], Column], part_rows: int = 2_000) -> DataFrame:
-    """Links (a, b) that join all sets which true links join, from stored lists (tok, key, size and the filter's ``columns``)."""
-    links = cut(verified(cut(_neighbours(lists, columns, can_link, part_rows, lambda row, w: F.first(row).over(w))), sets, percent))
-    placed = cut(components_of(lists, links))
-    nearest = _neighbours(placed, columns, can_link, part_rows, lambda row, w: F.lag(row).over(w))
-    of = lambda side: placed.select(F.col("key").alias(side), F.col("c").alias(f"c_{side}")).distinct()
-    nearest = nearest.join(of("a"), "a").join(of("b"), "b").where(F.col("c_a") != F.col("c_b")).select("a", "b")
-    links = cut(links.unionByName(verified(cut(nearest), sets, percent)))
+def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, columns: list[str], can_link: Callable[[str, str], Column], part_rows: int = 2_000) -> DataFrame:
+    """Links (a, b) that join all sets which true links join, from stored lists (tok, key, size and the filter's ``columns``).
+
+    ``sets_of`` gives key and set for a table of keys.
+    """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return cut(verified(pairs, sets_of(wanted), percent))
+
+    first, last = (lambda row, w: F.first(row).over(w)), (lambda row, w: F.lag(row).over(w))
+    links = checked(_neighbours(lists, columns, can_link, part_rows, first).unionByName(_neighbours(lists, columns, can_link, part_rows, last)))
     placed = cut(components_of(lists, links))
     parts = placed.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok")
     mixed = parts.agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
     across = cut(placed.join(mixed.select("tok", F.col("main.c").alias("main")), "tok"))
     x, y = across.where(F.col("c") != F.col("main")).alias("x"), across.alias("y")
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & can_link("x", "y"))
-    more = cut(met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
-    return cut(links.unionByName(verified(more, sets, percent)))
+    return cut(links.unionByName(checked(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))))

@@ -7,8 +7,8 @@ the threshold go.  A pair is verified once, on whole sets.
 
 Equal sets are one set before anything is joined, and near copies are linked without all their pairs (see ``linking``).
 
-Whole sets are not stored for all documents.  They are read anew from the texts of documents that share a prefix shingle; a bitmap of fixed size
-spares most of the others, and a join removes the rest.
+Whole sets are not stored for all documents.  They are read anew from the texts of documents in a pair to be verified; a bitmap of
+fixed size spares most of the others, and a join removes the rest.
 """
 
 from __future__ import annotations
@@ -22,41 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemtape.llm.common import LOWER, UPPER, WORD, text_of
+from tandemtape.llm.common import WORD, text_of
 from tandemtape.llm.linking import bitmap, components_of, links_of, marked, shared_lists
+from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
 from tandemtape.session import cut
 
-ASCII = str.maketrans(UPPER, LOWER)
-SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 LEAST_ID = -(2**63)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def scrambled(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes:
-    """Hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = 500_000):
-        self.most, self.known = most, {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def split_words(text: str) -> list[str]:
-    """Words as runs of characters other than the blank and the controls 9 to 13, with A-Z lower-cased."""
-    return [w for w in text.translate(SPACES).translate(ASCII).split(" ") if w]
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +44,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def _sets_of(batch: pa.RecordBatch, words: WordHashes, width: int) -> tuple[list[np.ndarray], list[int]]:
     """The set of every text, and a 64-bit number of it, which equal sets share."""
-    sets = [shingles(words.of(split_words(t)), width) for t in batch.column("text").to_pylist()]
+    sets = [shingles(words.of(lower_words(t)), width) for t in batch.column("text").to_pylist()]
     return sets, [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
 
 
@@ -176,15 +147,14 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
 
 def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int = 2_000, class_bits: int = 20) -> DataFrame:
     """did, th (text hash), n and c, the component's number (null without words), for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(text_of("text")).alias("th"), text_of("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(text_of("text")).alias("th"), text_of("text").cast("binary").alias("text"))
     surveyed = cut(survey(rows, width, class_bits))
     counts = class_counts(surveyed, class_bits)
     every = surveyed.where(F.col("class").isNull()).select("did", "th", "n", "key")
     # Copies have equal lists; a partial aggregate in each task takes them out before the shuffle.
     lists = cut(prefixes(rows, counts, width, percent, class_bits).groupBy("tok", "key").agg(F.first("place").alias("place"), F.first("later").alias("later")))
     lists = shared_lists(lists)  # a shingle of one set links nothing
-    sets = cut(whole_sets(rows, lists.select("key").distinct(), width))
-    links = links_of(lists, sets, percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
+    links = links_of(lists, lambda wanted: whole_sets(rows, wanted, width), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
     return cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.llm.common import text_of
 from tandemtape.llm.eliasfano import EliasFano, encode
-from tandemtape.llm.ngramjoin import MIX, WordHashes, scrambled, split_words
+from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
 from tandemtape.session import cut
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -133,7 +133,7 @@ def chunks(rows: DataFrame, order: int, shards: int) -> DataFrame:
         for batch in batches:
             at = 0
             for i, text in enumerate(batch.column("text").to_pylist()):
-                held.append(np.append(hashes.of(split_words(text)), END))
+                held.append(np.append(hashes.of(lower_words(text)), END))
                 size += len(held[-1])
                 if size >= CHUNK_WORDS:
                     docs.append(batch.slice(at, i + 1 - at).select(["doc_id", "held_out"]))
@@ -259,7 +259,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
     Columns besides doc_id and text are not read.
     """
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(4, -(-size // (8 * SHARD_ROWS)))
     read = cut(chunks(rows, order, shards))

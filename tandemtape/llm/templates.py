@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; case and punctuation go.  Windows of
+Numbers, units after numbers, and names (capitalised words inside a sentence, unless all capitals) become typed placeholders; case and punctuation go.  Windows of
 template words of the benchmark are hash-joined with windows of the documents, so a question whose numbers or names were changed
 still meets its template.  The values behind the placeholders must then map consistently: within one alignment a benchmark value
 may stand for one document value only.
@@ -36,8 +36,8 @@ def spaced(column: Column | str) -> Column:
 
 def templated(text: Column) -> Column:
     """The template of spaced text, word for word; words of punctuation alone become empty."""
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;)] )\p{Lu}[\p{L}\p{M}'’-]*", "#m")
-    text = F.regexp_replace(text, r"\p{N}+(?:[.,:/]\p{N}+)*", "#n")
+    text = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;)] )\p{Lu}(?=[\p{L}\p{M}'’-]*\p{Ll})[\p{L}\p{M}'’-]*", "#m")
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])", "#n")
     text = F.regexp_replace(F.lower(text), rf"(?<=#n )(?:{UNITS})(?![\p{{L}}\p{{N}}])", "#u")
     return F.regexp_replace(text, r"[^\p{L}\p{N}# ]+", "")
 
@@ -72,10 +72,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5,
     A pair is reported if consistent windows have a run of eight template words in common and cover ``least_share`` of the item's
     template words or a run of ``least_run`` of them.
     Columns: doc_id, _th, item_id, item_words, covered_words, longest_run, slots (values seen behind placeholders).  Null and empty
-    texts hold nothing, items of under eight template words are never met, null ids are ids of their own, repeated rows are one.
+    texts hold nothing, items of under eight template words are never met, windows of more placeholders than words count for nothing, null ids are ids of their own, repeated rows are one.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(LEAST_ID)).alias("item"), "text").where(F.col("text").isNotNull())
-    theirs = cut(_placed_windows(items, ["item"], "text").distinct())
+    # A window of more placeholders than words says nothing of where it comes from.
+    theirs = cut(_placed_windows(items, ["item"], "text").where(F.size("slots") <= WIDTH // 2).distinct())
     hashes = theirs.select("h").distinct()
     small = hashes.count() <= broadcast_rows  # 16 bytes a row; a larger benchmark is joined by a shuffle
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("did"), F.xxhash64(text_of("text")).alias("th"), "text")
