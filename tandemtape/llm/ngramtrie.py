@@ -1,6 +1,6 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
-Documents are read once into chunks of word ids.  A chunk sends each different word and each different n-gram, with its count in training
+Documents are read once into stored chunks of word ids.  A chunk sends each different word and each different n-gram, with its count in training
 documents, to the shard that its context's hash names.  A shard merges what all chunks send into a trie level: contexts, monotone pointers
 to their successors, and the successors, told apart by the word's hash within the context, all in Elias-Fano form, with the
 discounted probabilities quantised to a byte.  The level is mapped from an unlinked file and asked for the same n-grams by successor search
@@ -100,35 +100,23 @@ def _requests(words: np.ndarray, ids: np.ndarray, first: np.ndarray, train: np.n
             yield level, int(s), encode(names[a:b]), encode(child), squeeze(counts[i:j])
 
 
-def chunks(rows: DataFrame, order: int, shards: int) -> DataFrame:
-    """Rows of two kinds by ``level``: 0 a chunk (ids, words, documents), 1 and up what it asks of a shard."""
+def chunks(rows: DataFrame) -> DataFrame:
+    """A row per chunk: the word ids of its documents, the hashes of its words, and the documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, made = WordHashes(), TaskContext.get().partitionId(), 0
-        names = ["chunk", "level", "shard", "a", "b", "c", "docs"]
         held: list[np.ndarray] = []
         docs: list[pa.RecordBatch] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal held, docs, size, made
-            tokens = np.concatenate(held)
-            lengths = np.array([len(h) for h in held])
             info = pa.Table.from_batches(docs)
-            train = np.repeat(~info.column("held_out").to_numpy(zero_copy_only=False).astype(bool), lengths)
-            words, ids = np.unique(np.append(tokens, START), return_inverse=True)
-            ids = ids[:-1].astype(np.int64)
-            first = np.zeros(len(ids), bool)
-            first[np.cumsum(lengths) - lengths] = True
-            chunk = (task << 32) + made
-            listed = [{"doc_id": d, "held_out": bool(h), "n": int(n)} for d, h, n in zip(info.column("doc_id").to_pylist(), info.column("held_out").to_pylist(), lengths)]
-            out = [(chunk, 0, -1, squeeze(ids.astype(np.uint32)), words.tobytes(), b"", listed)]
-            out += [(chunk, level, s, a, b, c, None) for level, s, a, b, c in _requests(words, ids, first, train, order, shards)]
-            made += 1
-            held, docs, size = [], [], 0
-            for start in range(0, len(out), 256):
-                columns = list(zip(*out[start : start + 256]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), DOCS))], names)
+            words, ids = np.unique(np.append(np.concatenate(held), START), return_inverse=True)
+            listed = [{"doc_id": d, "held_out": h, "n": len(x)} for d, h, x in zip(info.column("doc_id").to_pylist(), info.column("held_out").to_pylist(), held)]
+            row = [[(task << 32) + made], [squeeze(ids[:-1].astype(np.uint32))], [encode(words)], [listed]]
+            held, docs, size, made = [], [], 0, made + 1
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), DOCS))], ["chunk", "a", "b", "docs"])
 
         for batch in batches:
             at = 0
@@ -138,13 +126,40 @@ def chunks(rows: DataFrame, order: int, shards: int) -> DataFrame:
                 if size >= CHUNK_WORDS:
                     docs.append(batch.slice(at, i + 1 - at).select(["doc_id", "held_out"]))
                     at = i + 1
-                    yield from flush()
+                    yield flush()
             if at < batch.num_rows:
                 docs.append(batch.slice(at).select(["doc_id", "held_out"]))
         if held:
-            yield from flush()
+            yield flush()
 
-    return rows.mapInArrow(read, f"chunk long, level int, shard int, a binary, b binary, c binary, docs {DOCS_DDL}")
+    return rows.mapInArrow(read, f"chunk long, a binary, b binary, docs {DOCS_DDL}")
+
+
+def opened(a: bytes, b: bytes, docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, ids, marks of first tokens and document lengths of a chunk."""
+    words, ids = _all(b), spread(a, np.uint32).astype(np.int64)
+    lengths = np.array([d["n"] for d in docs], np.int64)
+    first = np.zeros(len(ids), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    return words, ids, first, lengths
+
+
+def requests(read: DataFrame, order: int, shards: int) -> DataFrame:
+    """What every chunk asks of every shard that it meets."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, a, b, docs = (batch.column(c)[row].as_py() for c in ("chunk", "a", "b", "docs"))
+                words, ids, first, lengths = opened(a, b, docs)
+                train = np.repeat(np.array([not d["held_out"] for d in docs]), lengths)
+                out = [(chunk, *r) for r in _requests(words, ids, first, train, order, shards)]
+                for start in range(0, len(out), 256):
+                    columns = zip(*out[start : start + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["chunk", "level", "shard", "a", "b", "c"])
+
+    return read.mapInArrow(ask, "chunk long, level int, shard int, a binary, b binary, c binary")
 
 
 DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64())]))
@@ -262,8 +277,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(4, -(-size // (8 * SHARD_ROWS)))
-    read = cut(chunks(rows, order, shards))
-    replies = cut(answers(read.where(F.col("level") > 0).select("chunk", "level", "shard", "a", "b", "c")))
+    read = cut(chunks(rows))
+    replies = cut(answers(requests(read, order, shards)))
     totals = np.zeros(4, np.int64)
     for row in replies.where(F.col("chunk") == -1).select("a").toLocalIterator():  # four numbers a shard
         totals += np.frombuffer(row["a"], np.int64)
@@ -271,12 +286,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
     discount = once / (once + 2 * twice) if twice else 0.5
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, words = spread(left["a"].iloc[0], np.uint32).astype(np.int64), np.frombuffer(left["b"].iloc[0], np.uint64)
         info = left["docs"].iloc[0]
-        lengths = np.array([d["n"] for d in info], np.int64)
+        words, ids, first, lengths = opened(left["a"].iloc[0], left["b"].iloc[0], info)
         edges = np.cumsum(lengths) - lengths
-        first = np.zeros(len(ids), bool)
-        first[edges] = True
         right = right.sort_values(["level", "shard"])
         mine = right[right["level"] == 1]
         counts = np.concatenate([spread(a, np.uint64) for a in mine["a"]]).astype(np.float64)
@@ -300,7 +312,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
             }
         )
 
-    whole = read.where(F.col("level") == 0).select(F.col("chunk").alias("_chunk"), "a", "b", "docs")
+    whole = read.withColumnRenamed("chunk", "_chunk")
     parts = replies.where(F.col("chunk") >= 0).select("chunk", "level", "shard", "a", "b")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return whole.groupBy("_chunk").cogroup(parts.groupBy("chunk")).applyInPandas(finish, schema)

@@ -26,7 +26,7 @@ def lower_words(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """Hashes by word, remembered up to a bound; a subclass may put more into a hash."""
 
-    most = 500_000
+    most = 300_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = value = self.value(word)
