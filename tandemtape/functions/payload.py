@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions.numbers import is_number
 
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
+# Any number of fraction digits, of which six count; zones as Z, +hh, +hhmm, +hh:mm, or with seconds.
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)$"
 
 
 def parsed(text: Column) -> Column:
@@ -53,11 +54,26 @@ def has_id(value: Column, name: str) -> Column:
 def has_time(value: Column, name: str) -> Column:
     """An RFC 3339 text with a zone."""
     at = text_of(value, name)
-    return has_text(value, name) & at.rlike(_RFC3339) & at.try_cast("timestamp").isNotNull()
+    return has_text(value, name) & at.rlike(_RFC3339) & instant(at).isNotNull()
+
+
+def instant(text: Column) -> Column:
+    """The time to the microsecond below it; null when it is none."""
+    cut = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    cut = F.regexp_replace(cut, r"([T ]\d{2}:\d{2})(Z|[+-]\d)", "$1:00$2")
+    whole = F.regexp_replace(cut, r"([+-]\d{2})$", "$1:00")
+    return F.regexp_replace(whole, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
 
 
 def time_of(value: Column, name: str) -> Column:
-    return text_of(value, name).try_cast("timestamp")
+    return instant(text_of(value, name))
+
+
+def sign_of(value: Column, name: str) -> Column:
+    """-1, 0 or 1 of a number given as text, however wide or small it is."""
+    text = F.trim(text_of(value, name))
+    nonzero = F.regexp_replace(text, r"[eE].*$", "").rlike("[1-9]")
+    return F.when(~nonzero, F.lit(0)).when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
 
 
 def number_of(value: Column, name: str) -> Column:

@@ -57,11 +57,6 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided_value(v))
 
 
-@F.pandas_udf(T.DoubleType())
-def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else f_tail_value(v, a, b) for v, a, b in zip(f, d1, d2)])
-
-
 def chi2_tail_even(x: Column, df: Column) -> Column:
     """P(chi2(df) > x) for even df: a finite sum, each term formed from its logarithm so none overflows."""
     half = x / 2

@@ -244,7 +244,7 @@ def _top_level(ddl: str) -> list[str]:
 
 def return_models(returns: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """All estimates that need only the returns' cross-products, one row per attempt and configuration."""
-    products = moments.lag_products(returns, KEYS, config.adf_max_lag + 1)
+    products = moments.lag_products(returns, KEYS, max(config.adf_max_lag + 1, config.var_max_lag))
     return products.mapInPandas(_return_models(config), RETURN_MODELS)
 
 

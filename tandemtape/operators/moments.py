@@ -55,9 +55,9 @@ def lag_products(rows: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFr
 class WindowedGram:
     """Products and sums of one key, re-windowed: sum over t in [t0, n) of y_i(t-a) y_j(t-b)."""
 
-    def __init__(self, n, sums, products, edge_pos, edge_1, edge_2, depth: int = DEPTH):
+    def __init__(self, n, sums, products, edge_pos, edge_1, edge_2):
         self.n, self.sums = int(n), np.asarray(sums, dtype=float)
-        grid = np.asarray(products, dtype=float).reshape(4, depth + 1)
+        grid = np.asarray(products, dtype=float).reshape(len(PAIRS), -1)  # as many lags as were summed
         self.at = {pair: grid[k] for k, pair in enumerate(PAIRS)}
         self.edge = {1: dict(zip(edge_pos, edge_1)), 2: dict(zip(edge_pos, edge_2))}
 

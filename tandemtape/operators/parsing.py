@@ -68,8 +68,9 @@ def _valid(record: Column, shape: RecordShape) -> Column:
     checks += [P.has_id(record, name) for name in shape.ids]
     checks += [P.has_text(record, name) for name in shape.texts]
     for name, source in shape.numbers.items():
-        number = P.number_of(record, source)
-        floor = number >= 0 if name in MAY_BE_ZERO else number > 0
+        # Only the sign is judged here: a number that cannot be stored exactly must stop the job, not become a bad frame.
+        sign = P.sign_of(record, source)
+        floor = sign >= 0 if name in MAY_BE_ZERO else sign > 0
         checks.append(P.has_decimal(record, source) & F.coalesce(floor, F.lit(False)))
     met = checks[0]
     for check in checks[1:]:

@@ -99,8 +99,8 @@ def lineage_agreement(rows: DataFrame, keys: Sequence[str], columns: Sequence[st
 
 
 def missing_fields(rows: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """Rows whose required lineage has null or empty values, with the names of those values."""
-    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    """Rows whose required lineage has null or empty values, with the names of those values; an absent column is missing in all."""
+    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "") if c in rows.columns else F.lit(True)
     names = F.filter(F.array(*[F.when(blank(c), c) for c in required]), lambda x: x.isNotNull())
     return rows.select(*keys, names.alias("missing")).where(F.size("missing") > 0)
 

@@ -73,7 +73,7 @@ block("recs", """
         FROM decoded WHERE venue = 'kraken' AND json_type(j) = 'OBJECT' AND j->>'$.channel' IN ('trade', 'ticker'))
   WHERE r->>'$.symbol' = 'BTC/USD'
 """)
-_STAMP = r"'\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})'"
+_STAMP = r"'\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)'"
 block("fields", """
   SELECT record_index, venue, ord, kind,
     coalesce(r->>'$.time', r->>'$.timestamp') AS stamp,

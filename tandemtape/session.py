@@ -24,14 +24,25 @@ def local_session(cores: str = "8", app: str = "tandemtape") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; one is made only where none is set, as in tests."""
+    """The folder the cluster names for checkpoints; one is made only for a local master where none is set, as in tests.
+
+    On a cluster a folder of the driver's machine would be empty to the other machines, and a later read would find no rows, so a
+    missing setting is an error there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read to the shared folder and read it back.
 
