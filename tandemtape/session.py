@@ -43,6 +43,10 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+#: Folders of the tables that cut() wrote and release() has not removed.
+CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read to the shared folder and read it back.
 
@@ -52,4 +56,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(root)
-    return spark.read.schema(df.schema).parquet(root)
+    CUTS.append(root)
+    table = spark.read.schema(df.schema).parquet(root)
+    table._cut_root = root
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove cut tables, given as frames or folders, once everything that reads them has run."""
+    for table in tables:
+        root = table if isinstance(table, str) else table._cut_root
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if root in CUTS:
+            CUTS.remove(root)
