@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def drop_shuffles_early(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of a query when the query ends, not when the driver next collects its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def text_of(column: Column | str) -> Column:
     """The text, empty where there is none."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

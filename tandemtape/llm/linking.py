@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tandemtape.llm.components import components
-from tandemtape.session import cut
+from tandemtape.session import cut, release
 
 
 def shared_lists(lists: DataFrame) -> DataFrame:
-    """The rows of lists (tok, key, ...) that hold more than one set, with their size."""
+    """The rows of a cut table of lists (tok, key, ...) that hold more than one set, with their size; takes the table's place."""
     sizes = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    return cut(lists.join(sizes, "tok"))
+    shared = cut(lists.join(sizes, "tok"))
+    release(lists.sparkSession, lists)
+    return shared
 
 
 def bitmap(wanted: DataFrame, bits: int) -> np.ndarray:
@@ -87,8 +89,11 @@ def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return cut(verified(pairs, sets_of(wanted), percent))
+        found = cut(verified(pairs, sets_of(wanted), percent))
+        release(spark, pairs)
+        return found
 
+    spark = lists.sparkSession
     first, last = (lambda row, w: F.first(row).over(w)), (lambda row, w: F.lag(row).over(w))
     links = checked(_neighbours(lists, columns, can_link, part_rows, first).unionByName(_neighbours(lists, columns, can_link, part_rows, last)))
     placed = cut(components_of(lists, links))
@@ -97,4 +102,7 @@ def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     across = cut(placed.join(mixed.select("tok", F.col("main.c").alias("main")), "tok"))
     x, y = across.where(F.col("c") != F.col("main")).alias("x"), across.alias("y")
     met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & can_link("x", "y"))
-    return cut(links.unionByName(checked(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))))
+    more = checked(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+    whole = cut(links.unionByName(more))
+    release(spark, placed, across, links, more)
+    return whole

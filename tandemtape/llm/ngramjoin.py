@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemtape.llm.common import WORD, text_of
+from tandemtape.llm.common import WORD, drop_shuffles_early, text_of
 from tandemtape.llm.linking import bitmap, components_of, links_of, marked, shared_lists
 from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
-from tandemtape.session import cut
+from tandemtape.session import cut, release
 
 LEAST_ID = -(2**63)
 
@@ -148,6 +148,7 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
 def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int = 2_000, class_bits: int = 20) -> DataFrame:
     """did, th (text hash), n and c, the component's number (null without words), for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(text_of("text")).alias("th"), text_of("text").cast("binary").alias("text"))
+    drop_shuffles_early(docs.sparkSession)
     surveyed = cut(survey(rows, width, class_bits))
     counts = class_counts(surveyed, class_bits)
     every = surveyed.where(F.col("class").isNull()).select("did", "th", "n", "key")
@@ -155,7 +156,9 @@ def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int
     lists = cut(prefixes(rows, counts, width, percent, class_bits).groupBy("tok", "key").agg(F.first("place").alias("place"), F.first("later").alias("later")))
     lists = shared_lists(lists)  # a shingle of one set links nothing
     links = links_of(lists, lambda wanted: whole_sets(rows, wanted, width), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
-    return cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
+    grouped = cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
+    release(docs.sparkSession, surveyed, lists, links)
+    return grouped
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

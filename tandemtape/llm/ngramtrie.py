@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemtape.llm.common import text_of
+from tandemtape.llm.common import drop_shuffles_early, text_of
 from tandemtape.llm.eliasfano import EliasFano, encode
 from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
 from tandemtape.session import cut
@@ -275,6 +275,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 2) -> Dat
     """
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of("text").cast("binary").alias("text"))
+    drop_shuffles_early(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     shards = max(4, -(-size // (8 * SHARD_ROWS)))
     read = cut(chunks(rows))
