@@ -1,8 +1,8 @@
 """Links between sets that share an entry in candidate lists, without all pairs of a group of near copies.
 
-A list is the sets that share a token (a prefix shingle, a band).  Each set is first verified with two neighbours, and the links are joined into
+A list is the sets that share a token (a prefix shingle, a band).  Each set is first verified with four neighbours at most, and the links are joined into
 components.  Then only pairs across components are joined in full: of a list's sets, those outside its largest
-component meet all others.  No link between components is lost, and a list whose sets are one component costs nothing more.
+component meet all others, as far as parity sketches let them.  No link between components is lost, and a list whose sets are one component costs nothing more.
 """
 
 from __future__ import annotations
@@ -61,14 +61,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(judge, "a long, b long")
 
 
-def _neighbours(lists: DataFrame, columns: list[str], can_link: Callable, part_rows: int, other: Callable) -> DataFrame:
+def parity_sketch(s: np.ndarray, words: int) -> np.ndarray:
+    """Bits of 64 x ``words`` classes, each the parity of the set's hashes in the class.
+
+    Two sketches differ in no more bits than the sets differ in elements, which bounds the intersection from above.
+    """
+    return np.packbits((np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches_allow(words: int, percent: int) -> Column:
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, words)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    both = F.col("x.sn") + F.col("y.sn")
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
+def _neighbours(lists: DataFrame, columns: list[str], can_link: Callable, part_rows: int, other: Callable, order: list | None = None) -> DataFrame:
     """At most one pair per set: with ``other`` (a function of the window) in the first of its lists where the filter lets it pass.
 
     Lists are cut into pieces of about ``part_rows`` rows by the key, so no window holds a whole long list.
     """
     parted = lists.withColumn("_part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(part_rows))))
     mine = F.struct("key", *columns)
-    paired = parted.select("tok", mine.alias("x"), other(mine, Window.partitionBy("tok", "_part").orderBy(*columns, "key")).alias("y"))
+    paired = parted.select("tok", mine.alias("x"), other(mine, Window.partitionBy("tok", "_part").orderBy(*(order or [*columns, "key"]))).alias("y"))
     paired = paired.where(F.col("y").isNotNull() & (F.col("x.key") != F.col("y.key")) & can_link("x", "y"))
     best = paired.groupBy(F.col("x.key").alias("a")).agg(F.min_by(F.col("y.key"), F.struct("tok", "y.key")).alias("b"))
     return best
@@ -80,10 +94,10 @@ def components_of(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(named, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
 
 
-def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, columns: list[str], can_link: Callable[[str, str], Column], part_rows: int = 2_000) -> DataFrame:
+def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sketches: DataFrame, words: int, percent: int, columns: list[str], can_link: Callable[[str, str], Column], part_rows: int = 2_000) -> DataFrame:
     """Links (a, b) that join all sets which true links join, from stored lists (tok, key, size and the filter's ``columns``).
 
-    ``sets_of`` gives key and set for a table of keys.
+    ``sets_of`` gives key and set for a table of keys; ``sketches`` has key, sn (elements) and the ``words`` of a parity sketch.
     """
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -95,13 +109,16 @@ def links_of(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
     spark = lists.sparkSession
     first, last = (lambda row, w: F.first(row).over(w)), (lambda row, w: F.lag(row).over(w))
-    links = checked(_neighbours(lists, columns, can_link, part_rows, first).unionByName(_neighbours(lists, columns, can_link, part_rows, last)))
+    tries = _neighbours(lists, columns, can_link, part_rows, first)
+    for order in (None, [F.xxhash64("key", F.lit(1))], [F.xxhash64("key", F.lit(2))]):
+        tries = tries.unionByName(_neighbours(lists, columns, can_link, part_rows, last, order))
+    links = checked(tries)
     placed = cut(components_of(lists, links))
     parts = placed.groupBy("tok", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("tok")
     mixed = parts.agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
-    across = cut(placed.join(mixed.select("tok", F.col("main.c").alias("main")), "tok"))
+    across = cut(placed.join(mixed.select("tok", F.col("main.c").alias("main")), "tok").join(sketches, "key"))
     x, y = across.where(F.col("c") != F.col("main")).alias("x"), across.alias("y")
-    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & can_link("x", "y"))
+    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & can_link("x", "y") & _sketches_allow(words, percent))
     more = checked(met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
     whole = cut(links.unionByName(more))
     release(spark, placed, across, links, more)

@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemtape.llm.common import WORD, drop_shuffles_early, text_of
-from tandemtape.llm.linking import bitmap, components_of, links_of, marked, shared_lists
+from tandemtape.llm.linking import bitmap, components_of, links_of, marked, parity_sketch, shared_lists
 from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
 from tandemtape.session import cut, release
 
 LEAST_ID = -(2**63)
+SKETCH = [f"w{i}" for i in range(8)]
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -49,24 +50,25 @@ def _sets_of(batch: pa.RecordBatch, words: WordHashes, width: int) -> tuple[list
 
 
 def survey(rows: DataFrame, width: int, bits: int) -> DataFrame:
-    """One pass over did and text: did, th, n, key for every row, and for every task the counts (class, n) of its shingles."""
+    """One pass over did and text: did, th, n, key and sketch for every row, and for every task the counts (class, n) of its shingles."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = WordHashes(), np.zeros(1 << bits, np.int64)
-        names = ["did", "th", "n", "key", "class"]
+        names = ["did", "th", "n", "key", "class", *SKETCH]
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 b = batch.slice(start, 1000)
                 sets, numbers = _sets_of(b, words, width)
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
                 own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.int64()), pa.nulls(len(sets), pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), *own], names)
+                sketches = np.stack([parity_sketch(s, len(SKETCH)) for s in sets], 1)
+                yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), *own, *map(pa.array, sketches)], names)
         used = np.flatnonzero(total)
         for at in np.array_split(used, max(1, len(used) // 50_000)):
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(total[at]), none, pa.array(at)], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(total[at]), none, pa.array(at), *[none] * len(SKETCH)], names)
 
-    return rows.mapInArrow(read, "did long, th long, n long, key long, class long")
+    return rows.mapInArrow(read, "did long, th long, n long, key long, class long, " + ", ".join(f"{w} long" for w in SKETCH))
 
 
 def class_counts(surveyed: DataFrame, bits: int) -> np.ndarray:
@@ -155,7 +157,8 @@ def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int
     # Copies have equal lists; a partial aggregate in each task takes them out before the shuffle.
     lists = cut(prefixes(rows, counts, width, percent, class_bits).groupBy("tok", "key").agg(F.first("place").alias("place"), F.first("later").alias("later")))
     lists = shared_lists(lists)  # a shingle of one set links nothing
-    links = links_of(lists, lambda wanted: whole_sets(rows, wanted, width), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
+    sketches = surveyed.where(F.col("class").isNull()).groupBy("key").agg(F.first("n").alias("sn"), *[F.first(w).alias(w) for w in SKETCH])
+    links = links_of(lists, lambda wanted: whole_sets(rows, wanted, width), sketches, len(SKETCH), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
     grouped = cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
     release(docs.sparkSession, surveyed, lists, links)
     return grouped
