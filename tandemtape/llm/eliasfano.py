@@ -77,6 +77,12 @@ class EliasFano:
         high = (self._select(at, 1) - at).astype(np.uint64)
         return self.base + ((high << np.uint64(self.width)) | self._lows(at))
 
+    def whole(self) -> np.ndarray:
+        """All values, read in one pass over the high bits."""
+        at = np.arange(self.n)
+        high = (np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - at).astype(np.uint64)
+        return self.base + ((high << np.uint64(self.width)) | self._lows(at))
+
     def successor(self, values: np.ndarray) -> np.ndarray:
         """For each value the position of the first element that is not smaller; ``n`` if there is none."""
         values = np.asarray(values, np.uint64)

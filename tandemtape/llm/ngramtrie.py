@@ -183,8 +183,7 @@ def _bytes(raw: bytes) -> np.ndarray:
 
 
 def _all(raw: bytes) -> np.ndarray:
-    e = EliasFano(_bytes(raw))
-    return e.access(np.arange(e.n))
+    return EliasFano(_bytes(raw)).whole()
 
 
 def build_words(parts: list[tuple[np.ndarray, np.ndarray]]) -> Level:

@@ -158,6 +158,6 @@ def test_elias_fano_round_trip_and_successor(n, top):
     r = np.random.default_rng(n)
     v = np.sort(r.integers(0, top, n, dtype=np.uint64, endpoint=True))
     e = EliasFano(np.frombuffer(encode(v), np.uint8))
-    assert (e.access(np.arange(n)) == v).all()
+    assert (e.access(np.arange(n)) == v).all() and (e.whole() == v).all()
     asked = np.concatenate([v[:300], r.integers(0, top, 2000, dtype=np.uint64, endpoint=True), np.array([0, top], np.uint64)])
     assert (e.successor(asked) == np.searchsorted(v, asked)).all()
