@@ -273,8 +273,11 @@ def session_metrics(
     out = coverage(classified, trades, quotes, keys)
     for part in parts:
         out = out.join(part, keys, "left")
-    out = out.join(archive.select("session_id", "archive_valid", "manifest_records"), "session_id", "left")
-    return out.withColumns({"writer_failures": F.lit(0), "missing_exchange_rate": F.lit(0.0)}).na.fill(0)
+    # What the archive does not tell stays unknown, and the rules that need it fail.
+    told = [c for c in ("writer_failures", "missing_exchange_rate") if c in archive.columns]
+    known = [c for c, kind in out.dtypes if kind != "boolean" and c not in keys]
+    out = out.na.fill(0, known).join(archive.select("session_id", "archive_valid", "manifest_records", *told), "session_id", "left")
+    return out.withColumns({c: F.lit(v) for c, v in (("writer_failures", 0), ("missing_exchange_rate", 0.0)) if c not in told})
 
 
 # One rule per finding: id, category, severity, metric, observed value, threshold, breach.
@@ -289,9 +292,9 @@ def _rules(policy: QualityPolicy) -> list[tuple]:
     anomalies = c("duplicates") + c("reversals") + F.when(first, c("jumps")).otherwise(0)
     locked = c("locked_market_count") + c("crossed_market_count")
     rows = [
-        ("INTEGRITY_ARCHIVE_VALIDATION_FAILED", "integrity", critical, "archive_validation_passed", c("archive_valid").cast("double"), F.lit(1.0), ~c("archive_valid")),
-        ("INTEGRITY_WRITER_FAILURES", "integrity", critical, "writer_failures", c("writer_failures"), zero, c("writer_failures") > 0),
-        ("INTEGRITY_RAW_RECORD_SHORTFALL", "integrity", critical, "raw_records", c("frames"), c("manifest_records"), c("frames") < c("manifest_records")),
+        ("INTEGRITY_ARCHIVE_VALIDATION_FAILED", "integrity", critical, "archive_validation_passed", c("archive_valid").cast("double"), F.lit(1.0), ~F.coalesce(c("archive_valid"), F.lit(False))),
+        ("INTEGRITY_WRITER_FAILURES", "integrity", critical, "writer_failures", c("writer_failures"), zero, F.coalesce(c("writer_failures") > 0, F.lit(True))),
+        ("INTEGRITY_RAW_RECORD_SHORTFALL", "integrity", critical, "raw_records", c("frames"), c("manifest_records"), F.coalesce(c("frames") < c("manifest_records"), F.lit(True))),
         ("PARSING_ERROR_RATE", "parsing", error, "parse_error_rate", c("parse_error_rate"), F.lit(policy.max_parse_error_rate), None),
         ("PARSING_UNSUPPORTED_RATE", "parsing", warning, "unsupported_message_rate", c("unsupported_rate"), F.lit(policy.max_unsupported_rate), None),
         ("COVERAGE_SESSION_TOO_SHORT", "coverage", error, "session_duration_seconds", c("duration_seconds"), F.lit(policy.minimum_session_seconds), "below"),

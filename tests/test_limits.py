@@ -78,3 +78,14 @@ def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(spark("spark://host:7077", None))
     assert not made and session.shared_folder(spark("yarn", "hdfs://x/y")) == "hdfs://x/y"
+
+
+def test_unknown_archive_facts_fail_closed(spark):
+    from tandemtape.operators import quality
+
+    ids = {"INTEGRITY_ARCHIVE_VALIDATION_FAILED", "INTEGRITY_WRITER_FAILURES", "INTEGRITY_RAW_RECORD_SHORTFALL"}
+    policy = quality.QualityPolicy()
+    rules = [r for r in quality._rules(policy) if r[0] in ids]
+    rows = spark.createDataFrame([(1, None, None, 5, None), (2, True, 0, 5, 5), (3, False, 2, 5, 6)], "k int, archive_valid boolean, writer_failures int, frames int, manifest_records int")
+    got = rows.select("k", *[r[6].alias(r[0]) for r in rules]).orderBy("k").collect()
+    assert len(rules) == 3 and [[r[i] for i in sorted(ids)] for r in got] == [[True] * 3, [False] * 3, [True] * 3]
