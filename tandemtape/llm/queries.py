@@ -107,5 +107,5 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_paragraph_minhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs of at least 20 words, or 32 around a seam, that several documents hold, with their clusters."""
+    """Paragraphs of at least 20 words, or 32 around a seam or at an anchor, that several documents hold, with their clusters."""
     return substrings.repeated_paragraphs(table(spark, folder, "documents"))

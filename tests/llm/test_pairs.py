@@ -119,6 +119,33 @@ def test_passages_set_into_texts_are_found(spark):
         assert all(max(len(a & b) / len(a | b) for j, b in enumerate(group) if j != i) >= 0.8 for i, a in enumerate(group))
 
 
+def test_any_fifty_shared_words_meet(spark):
+    def plain(seed, n):
+        r = random.Random(seed)
+        return [f"v{r.randrange(5000)}" for _ in range(n)]
+
+    passage, rows, missed = plain(1, 50), [], 0
+    for i in range(30):
+        rows.append((i, " ".join([*plain(100 + i, 20 + i), *passage, *plain(200 + i, 70 - i)]), "en", "a", 0))  # no seam, no line, no sentence
+    for seed in range(300):
+        run = plain(seed, 50)
+        held = []
+        for side in (1, 2):
+            w = [*plain(1000 * side + seed, 5 + seed % 40), *run, *plain(3000 * side + seed, 60)]
+            held.append({tuple(w[a:b]) for a, b in substrings.paragraphs(" ".join(w).encode(), substrings.Words())[1][:, :2].tolist()})
+        missed += not any(len(x) == 32 for x in held[0] & held[1])
+    assert missed == 0
+    got = substrings.repeated_paragraphs(frame(spark, [*rows, (50, " ".join(plain(999, 200)), "en", "a", 0)])).collect()
+    assert {r.doc_id for r in got} == set(range(30))
+    assert all(r.removed == (r.doc_id > 0) for r in got if r.documents == 30) and any(r.documents == 30 for r in got)
+    changed = plain(5, 60)  # windows that differ in their last words are held together by their bands
+    near = [(0, " ".join(plain(6, 40) + changed[:31] + plain(7, 40)), "en", "a", 0), (1, " ".join(plain(8, 40) + changed[:31] + plain(9, 40)), "en", "a", 0)]
+    keys = [{tuple(w[a:b]) for a, b in substrings.paragraphs(t.encode(), substrings.Words())[1][:, :2].tolist()} for t in (near[0][1], near[1][1]) for w in (t.split(),)]
+    grams = lambda w: {w[i : i + 5] for i in range(len(w) - 4)}
+    close = any(len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y)) for x in keys[0] for y in keys[1])
+    assert close == bool(substrings.repeated_paragraphs(frame(spark, near)).count())
+
+
 def test_bands_reach_the_recall():
     bands, rows = substrings.tuned(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99 > 1 - (1 - 0.8**rows) ** (bands - 1)
