@@ -93,3 +93,12 @@ def test_leaks_agree_with_brute_force(spark):
             if best >= 8 and (2 * sum(covered) >= len(item) or best >= 13):
                 want.add((d, i))
     assert got == want and want
+
+
+def test_dense_and_short_items_are_met_word_for_word(spark):
+    numbers, names, short = "Sort these numbers: 5 3 8 1 9 2 7 4 6 10", "Match Paris, Berlin, Rome, Madrid, Vienna with France, Germany, Italy, Spain and Austria", "Who wrote the 12 tables?"
+    changed = [numbers.replace("5 3 8", "6 4 9"), names.replace("Paris", "Lyon").replace("Rome", "Turin").replace("Vienna", "Graz").replace("Italy", "Peru"), short.replace("12", "10")]
+    rows = [(i, f"{prose(i, 20)} {t} {prose(50 + i, 21 + i)}", "en", "a", 0) for i, t in enumerate([numbers, names, short, *changed])] + [(9, short, "en", "a", 0)]
+    bench = frame(spark, [(10, numbers), (11, names), (12, short)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in templates.find_leaks(frame(spark, rows), bench).collect()}
+    assert found == {(0, 10), (1, 11), (2, 12), (9, 12)}
