@@ -114,21 +114,17 @@ def trades(prepared: DataFrame) -> DataFrame:
 
 def quote_measures(bid: Column, bid_size: Column, ask: Column, ask_size: Column) -> dict[str, Column]:
     """Derived quote columns; ratios are null where their base is zero."""
-    b, a = bid.cast(S.WORKING), ask.cast(S.WORKING)
-    bs, az = bid_size.cast(S.WORKING), ask_size.cast(S.WORKING)
-    mid = N.half_even((b + a) * F.lit("0.5").cast("decimal(2,1)")).cast(S.STORED)
-    spread = (a - b).cast(S.STORED)
-    depth = (bs + az).cast(S.STORED)
+    mid, spread, depth = N.midpoint(bid, ask), N.difference(ask, bid), N.total(bid_size, ask_size)
     relative = N.ratio(spread, mid)
     return {
         "midprice": mid,
         "spread": spread,
         "relative_spread": relative,
-        "spread_basis_points": (relative.cast("decimal(28,18)") * F.lit(10000).cast("decimal(5,0)")).cast(S.STORED),
+        "spread_basis_points": N.product(relative, F.lit(10000)),
         "quoted_depth": depth,
-        "bid_ask_imbalance": N.ratio(bs - az, depth),
-        "locked_market_indicator": a == b,
-        "crossed_market_indicator": a < b,
+        "bid_ask_imbalance": N.ratio(N.difference(bid_size, ask_size), depth),
+        "locked_market_indicator": ask == bid,
+        "crossed_market_indicator": ask < bid,
     }
 
 

@@ -143,10 +143,60 @@ def frame_outcomes(spark, folder):
     )
 
 
-@query("venue_trades", using(MARKET, """
+# --- SQL of the exact derived values: stored numbers as whole numbers of 10^-18 in 128 bits, products and quotients by blocks --------
+_UNIT = "CAST(1000000000000000000 AS HUGEINT)"
+
+
+def _units_of(decimal: str) -> str:
+    return f"CAST(replace(CAST(CAST({decimal} AS DECIMAL(38,18)) AS VARCHAR), '.', '') AS HUGEINT)"
+
+
+def _text_of(units: str) -> str:
+    """Whole numbers of 10^-18 as decimal text."""
+    return f"concat(CASE WHEN {units} < 0 THEN '-' ELSE '' END, abs({units}) // {_UNIT}, '.', lpad(CAST(abs({units}) % {_UNIT} AS VARCHAR), 18, '0'))"
+
+
+def _half_even(quotient: str, twice_rest: str, by: str) -> str:
+    return f"({quotient} + CASE WHEN {twice_rest} > {by} OR ({twice_rest} = {by} AND ({quotient}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+def _product_sql(a: str, b: str) -> str:
+    low = f"((abs({a}) % {_UNIT}) * (abs({b}) % {_UNIT}))"
+    middle = f"((abs({a}) // {_UNIT}) * (abs({b}) % {_UNIT}) + (abs({a}) % {_UNIT}) * (abs({b}) // {_UNIT}) + {low} // {_UNIT})"
+    size = f"((abs({a}) // {_UNIT}) * (abs({b}) // {_UNIT}) * {_UNIT} + {_half_even(middle, f'2 * ({low} % {_UNIT})', _UNIT)})"
+    return f"(CASE WHEN ({a} < 0) <> ({b} < 0) THEN -1 ELSE 1 END * {size})"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    """For a positive base under 10^11."""
+    first = f"((abs({a}) % {b}) * 1000000000)"
+    second = f"(({first} % {b}) * 1000000000)"
+    digits = f"(({first} // {b}) * 1000000000 + {second} // {b})"
+    return f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * ((abs({a}) // {b}) * {_UNIT} + {_half_even(digits, f'2 * ({second} % {b})', b)}))"
+
+
+def _middle_sql(a: str, b: str) -> str:
+    return _half_even(f"(({a} + {b}) // 2)", f"2 * (({a} + {b}) % 2)", "2")
+
+
+def _quote_measures_sql(source: str, *columns: str) -> str:
+    """Derived values of the quotes of ``source``, as whole numbers of 10^-18, in steps that name what later steps repeat."""
+    return f"""
+  (SELECT *, {_product_sql('relative_u', f'(10000 * {_UNIT})')} AS points_u FROM
+    (SELECT *, CASE WHEN mid_u <> 0 THEN {_ratio_sql('spread_u', 'mid_u')} END AS relative_u, CASE WHEN depth_u <> 0 THEN {_ratio_sql('lean_u', 'depth_u')} END AS imbalance_u FROM
+      (SELECT *, {_middle_sql('bid_u', 'ask_u')} AS mid_u, ask_u - bid_u AS spread_u, bid_size_u + ask_size_u AS depth_u, bid_size_u - ask_size_u AS lean_u FROM
+        (SELECT *, {', '.join(f'{_units_of(c)} AS {n}_u' for c, n in zip(columns, ('bid', 'bid_size', 'ask', 'ask_size')))} FROM {source}))))"""
+
+
+_MEASURES = {"midprice": "mid_u", "spread": "spread_u", "relative_spread": "relative_u", "spread_basis_points": "points_u", "quoted_depth": "depth_u", "bid_ask_imbalance": "imbalance_u"}
+_MEASURES_SQL = ", ".join(f"CASE WHEN {units} IS NOT NULL THEN {_text_of(units)} END AS {name}" for name, units in _MEASURES.items())
+
+
+@query("venue_trades", using(MARKET, f"""
   SELECT record_index, child_index, session_id, venue, ts_us, CAST(price AS VARCHAR) AS price, CAST(quantity AS VARCHAR) AS quantity,
-         CAST(CAST(CAST(price AS DECIMAL(18,9)) * CAST(quantity AS DECIMAL(18,9)) AS DECIMAL(38,18)) AS VARCHAR) AS notional,
-         side, trade_id, source_sequence FROM market WHERE kind = 'trade'"""))
+         {_text_of('notional_u')} AS notional, side, trade_id, source_sequence
+  FROM (SELECT *, {_product_sql('price_u', 'quantity_u')} AS notional_u FROM
+         (SELECT *, {_units_of('price')} AS price_u, {_units_of('quantity')} AS quantity_u FROM market WHERE kind = 'trade'))"""))
 def venue_trades(spark, folder):
     rows = normalize.trades(prepared(spark, folder))
     return rows.select(
@@ -156,31 +206,14 @@ def venue_trades(spark, folder):
     )
 
 
-# Half-even quotient of two integers to 18 places, as text-free integer arithmetic.
-def _ratio_sql(a: str, b: str) -> str:
-    scaled = f"(abs(CAST({a} AS HUGEINT)) * 1000000000000000000)"
-    q, rem = f"({scaled} // CAST({b} AS HUGEINT))", f"({scaled} % CAST({b} AS HUGEINT))"
-    up = f"CASE WHEN 2 * {rem} > {b} OR (2 * {rem} = {b} AND {q} % 2 = 1) THEN 1 ELSE 0 END"
-    return f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * ({q} + {up}))"
-
-
-def _units(sql: str) -> str:
-    """18-place integer back to decimal text."""
-    return f"CAST(CAST({sql} AS DECIMAL(38,0)) * CAST(0.000000000000000001 AS DECIMAL(18,18)) AS VARCHAR)"
-
-
 @query("venue_quotes", using(MARKET, f"""
-  SELECT record_index, child_index, session_id, venue, ts_us, CAST(bid AS VARCHAR) AS bid_price, CAST(ask AS VARCHAR) AS ask_price,
-    CAST(CAST((CAST(bid AS DECIMAL(18,9)) + CAST(ask AS DECIMAL(18,9))) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(38,18)) AS VARCHAR) AS midprice,
-    CAST(CAST(ask - bid AS DECIMAL(38,18)) AS VARCHAR) AS spread, {_units(_ratio_sql('2 * d', 't'))} AS relative_spread,
-    {_units('10000 * ' + _ratio_sql('2 * d', 't'))} AS spread_basis_points,
-    CAST(CAST(bid_size + ask_size AS DECIMAL(38,18)) AS VARCHAR) AS quoted_depth,
-    CASE WHEN z > 0 THEN {_units(_ratio_sql('i', 'z'))} END AS bid_ask_imbalance, d = 0 AS locked_market_indicator, d < 0 AS crossed_market_indicator
-  FROM (SELECT *, CAST((ask - bid) * 100 AS BIGINT) AS d, CAST((ask + bid) * 100 AS BIGINT) AS t,
-               CAST(bid_size - ask_size AS BIGINT) AS i, CAST(bid_size + ask_size AS BIGINT) AS z FROM market WHERE kind = 'quote')"""))
+  SELECT record_index, child_index, session_id, venue, ts_us, CAST(bid AS VARCHAR) AS bid_price, CAST(bid_size AS VARCHAR) AS bid_size,
+    CAST(ask AS VARCHAR) AS ask_price, CAST(ask_size AS VARCHAR) AS ask_size, {_MEASURES_SQL},
+    spread_u = 0 AS locked_market_indicator, spread_u < 0 AS crossed_market_indicator
+  FROM {_quote_measures_sql("(SELECT * FROM market WHERE kind = 'quote')", 'bid', 'bid_size', 'ask', 'ask_size')}"""))
 def venue_quotes(spark, folder):
     rows = normalize.quotes(prepared(spark, folder))
-    text = ("bid_price", "ask_price", "midprice", "spread", "relative_spread", "spread_basis_points", "quoted_depth", "bid_ask_imbalance")
+    text = ("bid_price", "bid_size", "ask_price", "ask_size", *_MEASURES)
     return rows.select(
         F.col("source_record_index").alias("record_index"), F.col("normalized_child_index").alias("child_index"), "session_id", "venue",
         F.unix_micros("exchange_ts").alias("ts_us"), *[F.col(c).cast("string").alias(c) for c in text],
@@ -188,6 +221,31 @@ def venue_quotes(spark, folder):
     )
 
 
+def _long_decimal(whole: str, places: str) -> str:
+    """SQL that both engines read alike: a number of up to ten whole digits and 18 places."""
+    return f"CAST(concat({whole}, '.', lpad(CAST({places} AS VARCHAR(30)), 18, '0')) AS DECIMAL(38,18))"
+
+
+#: Prices and sizes with all 18 places, from the keys of the orders: close to each other, far apart, and under one.
+_LONG = {
+    "bid": _long_decimal("(o_orderkey * 7919) % 9999999967 * (o_orderkey % 3)", "(o_orderkey % 1000003) * 999983000077 % 1000000000000000000"),
+    "ask": _long_decimal("(o_orderkey * 7919) % 9999999967 * (o_orderkey % 3) + o_custkey % 2", "(o_custkey % 1000003) * 999979000063 % 1000000000000000000"),
+    "bid_size": _long_decimal("o_custkey % 7", "(o_orderkey % 1000003) * 999961000021 % 1000000000000000000"),
+    "ask_size": _long_decimal("o_orderkey % 90000000", "(o_custkey % 1000003) * 999959000041 % 1000000000000000000"),
+}
+
+
+@query("exact_derived_values", f"""
+  SELECT o_orderkey, {_text_of('notional_u')} AS notional, {_MEASURES_SQL}
+  FROM (SELECT *, {_product_sql('ask_u', 'ask_size_u')} AS notional_u
+        FROM {_quote_measures_sql(f"(SELECT o_orderkey, {', '.join(f'{sql} AS {name}' for name, sql in _LONG.items())} FROM orders)", 'bid', 'bid_size', 'ask', 'ask_size')})""")
+def exact_derived_values(spark, folder):
+    """Derived trade and quote values of numbers with all 18 places."""
+    rows = spark.read.parquet(f"{folder}/orders.parquet").selectExpr("o_orderkey", *[f"{sql} AS {name}" for name, sql in _LONG.items()])
+    values = {"notional": N.product(F.col("ask"), F.col("ask_size"))} | normalize.quote_measures(*[F.col(c) for c in ("bid", "bid_size", "ask", "ask_size")])
+    return rows.select("o_orderkey", *[values[c].cast("string").alias(c) for c in ("notional", *_MEASURES)])
+
+
 @query("normalized_lineage", using(MARKET, f"""
   SELECT record_index, child_index, kind, session_id, attempt_id AS campaign_attempt_id, concat('pair-', attempt_id) AS paired_collection_id,
     {_PATH} AS source_shard_relative_path, sha256(concat('shard-', session_id)) AS source_shard_sha256, frame_hash AS source_raw_frame_sha256,

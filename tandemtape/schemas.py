@@ -14,8 +14,6 @@ PARSER_VERSIONS = {VENUE_1: "coinbase:0.1.0", VENUE_2: "kraken:0.1.0"}
 STORED_PRECISION = 38
 STORED_SCALE = 18
 STORED = f"decimal({STORED_PRECISION},{STORED_SCALE})"
-# Arithmetic is done in a narrower type: Spark would round products of the stored type to 6 places.
-WORKING = "decimal(18,9)"
 
 _TYPES = {
     "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
