@@ -4,9 +4,9 @@ A chunk of documents makes one stripe per prefix it holds, stripes of a prefix a
 the count of every extension, the totals of the prefixes one word shorter (entries of the stripes before) and, by maxima over the
 entries, which phrases a longer one subsumes.  The stripe of the empty prefix is the table of words.
 
-A phrase is frequent only if all its words and word pairs are, so windows that hold an infrequent word (for pairs) or an infrequent
-pair (for longer phrases) make no entry.  Bit tables sized from the counted keys, at most ``MOST_BITS`` bits, tell which are frequent; a full
-table lets more through and changes no count.  The stripes of prefixes that begin with a hot word are sliced by the next word,
+Documents are read once into stored chunks of word ids; each length is one pass over the chunks.  A phrase is frequent only if
+both phrases one word shorter inside it are, so other windows make no entry.  Bit tables sized from the counted keys, at most
+2^``MOST_BITS`` bits, tell which are frequent; a full table lets more through and changes no count.  The stripes of prefixes that begin with a hot word are sliced by the next word,
 so no task merges a whole hot stripe; at most 1,024 words can hold a thousandth of all, and only they are sent to tasks.
 
 Words of a language are told by 64 bits of hash; two frequent words with one hash stop the job.
@@ -14,8 +14,7 @@ Words of a language are told by 64 bits of hash; two frequent words with one has
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,35 +27,28 @@ from pyspark.sql.window import Window
 
 from tandemtape.llm.common import drop_shuffles_early, text_of
 from tandemtape.llm.linking import bitmap, marked
-from tandemtape.llm.wordhash import MIX, WordHashes, scrambled
+from tandemtape.llm.ngramtrie import spread, squeeze
+from tandemtape.llm.wordhash import MIX, scrambled
 from tandemtape.session import cut, release
 
 #: Pieces end at these bytes; a tab parts words as a blank does.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 PARTS = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
-CHUNK_WORDS, CHUNK_KEYS, LANGUAGES = 2_000_000, 400_000, 64
+CHUNK_WORDS = 2_000_000
 MOST_BITS, HOT_SHARE = 27, 1024
 TURN = 23
 
 
-class LanguageHashes(WordHashes):
-    """Hashes of the words of one language."""
+class Places(dict):
+    """The places of one language's words in the list of a chunk's words; a word gets its place when it is first met."""
 
-    def __init__(self, lang: bytes):
-        self.seed = xxhash.xxh64_intdigest(lang)
+    def __init__(self, lang: bytes, words: list[tuple[bytes, bytes]]):
+        self.lang, self.words = lang, words
 
-    def value(self, word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word, seed=self.seed)
-
-
-class Languages(dict):
-    """The hashes of each language met, for a bounded number of languages at a time."""
-
-    def __missing__(self, lang: bytes) -> LanguageHashes:
-        if len(self) >= LANGUAGES:
-            self.clear()
-        self[lang] = made = LanguageHashes(lang)
-        return made
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self.words)
+        self.words.append((self.lang, word))
+        return place
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -64,47 +56,60 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
     return filter(None, (piece.split() for piece in text.lower().translate(PARTS).split(b"\n")))
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
-    for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
-
+ENTRY = "array<struct<lang:binary,word:binary,id:bigint,c:bigint>>"
+ENDS = np.uint32(1 << 31)
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """The stripe of the empty prefix: every word of every language with its hash and count."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, Counter] = {}
+def _chunks(docs: DataFrame) -> DataFrame:
+    """A row per chunk of about ``CHUNK_WORDS`` words: the hashes of its words, its text as places in them, and its word counts.
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counter in held.items():
-                words, counts = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-                ids = LanguageHashes(lang).of(words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.binary()), pa.array(words, pa.binary()), pa.array(ids), pa.array(counts)], ["lang", "word", "id", "c"])
-            held.clear()
+    The top bit of a place says that a piece ends with it.
+    """
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[bytes, Places] = {}
+        words: list[tuple[bytes, bytes]] = []
+        held: list[np.ndarray] = []
         size = 0
-        for lang, text in _documents(batches):
-            counter = held.setdefault(lang, Counter())
-            size -= len(counter)
-            for found in pieces(text):
-                counter.update(found)
-            size += len(counter)
-            if size >= CHUNK_KEYS:
-                yield from flush()
-                size = 0
-        yield from flush()
 
-    return docs.mapInArrow(read, "lang binary, word binary, id long, c long")
+        def flush() -> pa.RecordBatch:
+            seq = np.concatenate(held)
+            counts = np.bincount(seq & ~ENDS, minlength=len(words)).astype(np.int64)
+            seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in places}
+            ids = pa.array(np.fromiter((xxhash.xxh64_intdigest(word, seed=seeds[lang]) for lang, word in words), np.uint64, len(words)).view(np.int64))
+            lang, word = (pa.array(column, pa.binary()) for column in zip(*words))
+            entries = pa.StructArray.from_arrays([lang, word, ids, pa.array(counts)], ["lang", "word", "id", "c"])
+            whole = pa.array(np.array([0, len(words)], np.int32))
+            row = [pa.ListArray.from_arrays(whole, ids), pa.array([squeeze(seq)], pa.binary()), pa.ListArray.from_arrays(whole, entries)]
+            return pa.RecordBatch.from_arrays(row, ["ids", "seq", "entries"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in places:
+                    places[lang] = Places(lang, words)
+                place_of = places[lang].__getitem__
+                found: list[int] = []
+                ends: list[int] = []
+                for piece in pieces(text):
+                    found.extend(map(place_of, piece))
+                    ends.append(len(found) - 1)
+                if found:
+                    seq = np.array(found, np.uint32)
+                    seq[ends] |= ENDS
+                    held.append(seq)
+                    size += len(found)
+                if size >= CHUNK_WORDS:
+                    yield flush()
+                    places, words, held, size = {}, [], [], 0
+        if size:
+            yield flush()
 
+    return docs.mapInArrow(read, f"ids array<long>, seq binary, entries {ENTRY}")
 
-def _windows(ids: np.ndarray, good: np.ndarray, length: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """The stripes of prefixes of ``length`` - 1 words over one chunk: a row per prefix and slice, its next words and their counts.
 
-    ``good`` tells of each word whether it and the next make a pair that may be part of a phrase.
-    """
+def _windows(ids: np.ndarray, starts: np.ndarray, length: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """The stripes of prefixes of ``length`` - 1 words over one chunk: a row per prefix and slice, its next words and their counts."""
     joints = length - 1
-    n = max(len(ids) - joints, 0)
-    starts = np.flatnonzero(reduce(np.logical_and, [good[j : n + j] for j in range(joints)]))
     prefix = ids[starts]
     for j in range(1, joints):
         prefix = scrambled(prefix + ids[starts + j] * MIX)
@@ -131,56 +136,38 @@ def _windows(ids: np.ndarray, good: np.ndarray, length: int, hot: tuple[np.ndarr
     return pa.RecordBatch.from_arrays(columns, ["prefix", "part", "next", "count"])
 
 
-def turned(ids: np.ndarray) -> np.ndarray:
-    return (ids << np.uint64(TURN)) | (ids >> np.uint64(64 - TURN))
+def turned(key: np.ndarray) -> np.ndarray:
+    return (key << np.uint64(TURN)) | (key >> np.uint64(64 - TURN))
 
 
-def pair_key(u: Column, v: Column) -> Column:
-    """The key of a word pair in the bit table: both hashes, the second one turned."""
-    return u.bitwiseXOR(F.shiftleft(v, TURN).bitwiseOR(F.shiftrightunsigned(v, 64 - TURN)))
+def phrase_key(ids: Column) -> Column:
+    """The key of a phrase in the bit table: its hashes, each turned once for every word behind it."""
+    turn = lambda key: F.shiftleft(key, TURN).bitwiseOR(F.shiftrightunsigned(key, 64 - TURN))
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda key, word: turn(key).bitwiseXOR(word))
 
 
-def _stripes(docs: DataFrame, lengths: Sequence[int], frequent: Broadcast, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Stripes of all chunks for phrases of these lengths: pairs of frequent words, or longer phrases whose pairs are frequent."""
-    of_words = tuple(lengths) == (2,)
+def _stripes(chunks: DataFrame, length: int, frequent: Broadcast, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Stripes of all chunks for phrases of ``length`` words, of which both shorter phrases inside are marked ``frequent``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table = Languages(), frequent.value
-        held: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate(held)
-            good = np.ones(len(ids), bool)
-            good[np.concatenate(ends)] = False
-            if of_words:
-                known = marked(table, ids)
-                good &= known & np.append(known[1:], False)
-            else:
-                good &= marked(table, ids ^ turned(np.append(ids[1:], np.uint64(0))))
-            for length in lengths:
-                made = _windows(ids, good, length, hot)
+        table = frequent.value
+        for batch in batches:
+            for words, seq in zip(batch.column("ids"), batch.column("seq")):
+                seq = spread(seq.as_py(), np.uint32)
+                ids = words.values.to_numpy().view(np.uint64)[seq & ~ENDS]
+                n = len(ids) - length + 1
+                if n < 1:
+                    continue
+                follows, key = seq < ENDS, ids
+                for j in range(1, length - 1):
+                    key = turned(key[:-1]) ^ ids[j:]
+                known = marked(table, key)
+                good = reduce(np.logical_and, [follows[j : n + j] for j in range(length - 1)], known[:n] & known[1 : n + 1])
+                made = _windows(ids, np.flatnonzero(good), length, hot)
                 for start in range(0, made.num_rows, 20_000):
                     yield made.slice(start, 20_000)
 
-        for lang, text in _documents(batches):
-            words: list[bytes] = []
-            last: list[int] = []
-            for found in pieces(text):
-                words += found
-                last.append(len(words) - 1)
-            if words:
-                held.append(languages[lang].of(words))
-                ends.append(np.array(last) + size)
-                size += len(words)
-            if size >= CHUNK_WORDS:
-                yield from flush()
-                held, ends, size = [], [], 0
-        if size:
-            yield from flush()
-
-    return docs.mapInArrow(read, "prefix array<long>, part int, next array<long>, count array<long>")
+    return chunks.select("ids", "seq").mapInArrow(read, "prefix array<long>, part int, next array<long>, count array<long>")
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
@@ -210,7 +197,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     spark = docs.sparkSession
     drop_shuffles_early(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), text_of("text").cast("binary").alias("text"))
-    counted = cut(_word_counts(docs).groupBy("lang", "word", "id").agg(F.sum("c").alias("f")))
+    chunks = cut(_chunks(docs))
+    counted = cut(chunks.select(F.inline("entries")).groupBy("lang", "word", "id").agg(F.sum("c").alias("f")))
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = cut(counted.where(F.col("f") >= least))
     size = counted.agg(F.sum("f")).first()[0] or 0
@@ -223,16 +211,17 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     order = np.argsort(hot_ids)
     hot = hot_ids[order], hot_slices[order]
 
-    frequent = spark.sparkContext.broadcast(bitmap(words.select(F.col("id").alias("key")), _bits_for(known)))
-    pairs = cut(_merged(_stripes(docs, (2,), frequent, hot), least))
-    ids = F.col("ids")
-    frequent_pairs = spark.sparkContext.broadcast(bitmap(pairs.select(pair_key(ids[0], ids[1]).alias("key")), _bits_for(pairs.count())))
-    longer = cut(_merged(_stripes(docs, tuple(range(3, longest + 1)), frequent_pairs, hot), least)) if longest > 2 else pairs.limit(0)
-    phrases = pairs.unionByName(longer)
+    by_length, shorter, count = [], words.select(F.array("id").alias("ids")), known
+    for length in range(2, longest + 1):
+        frequent = spark.sparkContext.broadcast(bitmap(shorter.select(phrase_key(F.col("ids")).alias("key")), _bits_for(count)))
+        by_length.append(cut(_merged(_stripes(chunks, length, frequent, hot), least)))
+        frequent.destroy()
+        shorter, count = by_length[-1], by_length[-1].count()
+    phrases = reduce(DataFrame.unionByName, by_length)
 
     # Maxima over the entries that hold a phrase as a part.
     inner = F.expr("flatten(transform(sequence(2, size(ids) - 1), w -> transform(sequence(1, size(ids) - w + 1), i -> slice(ids, i, w))))")
-    maxima = longer.select(F.explode(inner).alias("ids"), "f").groupBy("ids").agg(F.max("f").alias("held"))
+    maxima = phrases.where(F.size("ids") > 2).select(F.explode(inner).alias("ids"), "f").groupBy("ids").agg(F.max("f").alias("held"))
     kept = phrases.join(maxima, "ids", "left").where(F.col("held").isNull() | (100 * F.col("held") < covered * F.col("f")))
     kept = cut(kept.select("ids", F.col("f").alias("a")))
 
@@ -253,7 +242,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     scored = scored.select(F.col("lang").cast("string").alias("lang"), "phrase", "a", F.col("at_cut.l").alias("l"), F.col("at_cut.r").alias("r"), "n", F.col("at_cut.score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     result = cut(scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top))
-    release(spark, counted, words, pairs, kept, *([longer] if longest > 2 else []))
-    frequent.destroy()
-    frequent_pairs.destroy()
+    release(spark, chunks, counted, words, kept, *by_length)
     return result.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
