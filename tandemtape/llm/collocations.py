@@ -61,7 +61,7 @@ ENDS = np.uint32(1 << 31)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """A row per chunk of about ``CHUNK_WORDS`` words: the hashes of its words, its text as places in them, and its word counts.
+    """A row per chunk of about ``CHUNK_WORDS`` words: its words with their hashes and counts, and its text as places in them.
 
     The top bit of a place says that a piece ends with it.
     """
@@ -80,8 +80,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             lang, word = (pa.array(column, pa.binary()) for column in zip(*words))
             entries = pa.StructArray.from_arrays([lang, word, ids, pa.array(counts)], ["lang", "word", "id", "c"])
             whole = pa.array(np.array([0, len(words)], np.int32))
-            row = [pa.ListArray.from_arrays(whole, ids), pa.array([squeeze(seq)], pa.binary()), pa.ListArray.from_arrays(whole, entries)]
-            return pa.RecordBatch.from_arrays(row, ["ids", "seq", "entries"])
+            return pa.RecordBatch.from_arrays([pa.array([squeeze(seq)], pa.binary()), pa.ListArray.from_arrays(whole, entries)], ["seq", "entries"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -104,7 +103,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(read, f"ids array<long>, seq binary, entries {ENTRY}")
+    return docs.mapInArrow(read, f"seq binary, entries {ENTRY}")
 
 
 def _windows(ids: np.ndarray, starts: np.ndarray, length: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -167,7 +166,7 @@ def _stripes(chunks: DataFrame, length: int, frequent: Broadcast, hot: tuple[np.
                 for start in range(0, made.num_rows, 20_000):
                     yield made.slice(start, 20_000)
 
-    return chunks.select("ids", "seq").mapInArrow(read, "prefix array<long>, part int, next array<long>, count array<long>")
+    return chunks.select(F.col("entries.id").alias("ids"), "seq").mapInArrow(read, "prefix array<long>, part int, next array<long>, count array<long>")
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
@@ -198,10 +197,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     drop_shuffles_early(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), text_of("text").cast("binary").alias("text"))
     chunks = cut(_chunks(docs))
-    counted = cut(chunks.select(F.inline("entries")).groupBy("lang", "word", "id").agg(F.sum("c").alias("f")))
-    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = cut(counted.where(F.col("f") >= least))
-    size = counted.agg(F.sum("f")).first()[0] or 0
+    entries = chunks.select(F.inline("entries"))
+    totals = cut(entries.groupBy("lang").agg(F.sum("c").alias("n")))
+    words = cut(entries.groupBy("lang", "word", "id").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+    size = totals.agg(F.sum("n")).first()[0] or 0
     known = words.count()
     if words.select("id").distinct().count() < known:
         raise ValueError("two frequent words have one hash; run with other seeds")
@@ -242,5 +241,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     scored = scored.select(F.col("lang").cast("string").alias("lang"), "phrase", "a", F.col("at_cut.l").alias("l"), F.col("at_cut.r").alias("r"), "n", F.col("at_cut.score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     result = cut(scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top))
-    release(spark, chunks, counted, words, kept, *by_length)
+    release(spark, chunks, totals, words, kept, *by_length)
     return result.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
