@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemtape.functions.quantiles import exact_quantiles
 from tandemtape.operators.ordered import carry, sliced
+from tandemtape.operators.scans import scan
 from tandemtape.session import cut
 
 MEDIAN = ("linear", 0.5)
@@ -62,14 +63,10 @@ def interarrival(
     ).drop("_t", "_slice")
 
 
-SORTED_SLICE_US = 3_600_000_000
-
-
 def sorted_interarrival_median(rows: DataFrame, keys: Sequence[str], ts: str = "ts_us") -> DataFrame:
     """Median gap in time order.  Equal times collapse to one row with a weight before any ordering happens."""
     instants = cut(rows.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n")))
-    placed, track = sliced(instants, keys, [ts], ts, SORTED_SLICE_US)
-    gaps = carry(placed, track, before={"_t": F.col(ts)})
+    gaps = scan(instants, keys, [ts], before={"_t": F.col(ts)})
     pairs = gaps.select(
         *keys,
         F.explode(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemtape.functions.quantiles import exact_quantiles
-from tandemtape.operators.ordered import carry, haloed, sliced
+from tandemtape.operators.ordered import haloed
+from tandemtape.operators.scans import scan
 from tandemtape.session import cut
 
 def delta_statistics(events: DataFrame, keys: Sequence[str], value: str = "delta_ms", index: str = "record_index") -> DataFrame:
@@ -85,8 +86,7 @@ def missing_spans(ids: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Spans replace the list of every id of a range, so the work follows the ids seen, not the width of the range.
     """
     seen = ids.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("bigint").alias("id")).distinct()
-    rows, track = sliced(cut(seen), keys, ["id"], "id")
-    return carry(rows, track, before={"_low": F.col("id")}).where(F.col("id") - F.col("_low") > 1).select(
+    return scan(cut(seen), keys, ["id"], before={"_low": F.col("id")}).where(F.col("id") - F.col("_low") > 1).select(
         *keys, (F.col("_low") + 1).alias("missing_from"), (F.col("id") - 1).alias("missing_to"),
         (F.col("id") - F.col("_low") - 1).alias("missing_ids"),
     )
@@ -103,10 +103,9 @@ def surrounding_ids(ids: DataFrame, heard: DataFrame, keys: Sequence[str], value
     both = seen.withColumn("_s", F.lit(1)).unionAll(asked.withColumn("_s", F.lit(0))).groupBy(*keys, "id").agg(
         F.max("_s").alias("seen"), F.min("_s").alias("_a")
     ).withColumn("asked", F.col("_a") == 0)
-    rows, track = sliced(cut(both), keys, ["id"], "id")
     is_seen = F.col("seen") == 1
-    around = carry(
-        rows, track, before={"below": (F.col("id"), is_seen)}, after={"above": (F.col("id"), is_seen)},
+    around = scan(
+        cut(both), keys, ["id"], before={"below": (F.col("id"), is_seen)}, after={"above": (F.col("id"), is_seen)},
         sums={"_count": F.col("seen").cast("bigint")},
     )
     first = seen.groupBy(*keys).agg(F.min("id").alias("_first"))
@@ -125,7 +124,7 @@ def nearby(frames: DataFrame, keys: Sequence[str], value: str, reach: int = 3, o
     return halo.withColumn("nearby", F.collect_list(value).over(around)).where("_own").drop("_own", "_slice")
 
 
-def stale_intervals(changes: DataFrame, frames: DataFrame, keys: Sequence[str], threshold_seconds: float, slice_us: int = 3_600_000_000) -> DataFrame:
+def stale_intervals(changes: DataFrame, frames: DataFrame, keys: Sequence[str], threshold_seconds: float) -> DataFrame:
     """Gaps between quotes beyond the threshold and what was received strictly inside them.
 
     Gaps are intervals of one ordered sequence, so instead of a range join the receipt-time running counts are read at
@@ -148,8 +147,7 @@ def stale_intervals(changes: DataFrame, frames: DataFrame, keys: Sequence[str],
     both = at.select(*keys, "t", F.lit(1).alias("_o"), *kinds, F.lit(None).cast("bigint").alias("quote_index"), F.lit(None).cast("int").alias("edge")).unionAll(
         ends.select(*keys, "t", (F.col("edge") * 2).alias("_o"), *[F.lit(0).cast("bigint") for _ in kinds], "quote_index", "edge")
     )
-    probes, track = sliced(cut(both), keys, ["t", "_o"], "t", slice_us)
-    summed = carry(probes, track, sums={f"_{k}": F.col(k) for k in kinds}).where("edge IS NOT NULL")
+    summed = scan(cut(both), keys, ["t", "_o"], sums={f"_{k}": F.col(k) for k in kinds}).where("edge IS NOT NULL")
     within = summed.groupBy(*keys, "quote_index").agg(
         *[
             (F.sum(F.when(F.col("edge") == 0, F.col(f"_{k}")).otherwise(-F.col(f"_{k}")))).alias(k)

@@ -17,10 +17,14 @@ def prepare(archive: DataFrame, sessions: DataFrame) -> DataFrame:
     ``archive`` needs the archive columns, ``session_id`` and ``shard_path``; ``sessions`` is one row per session.
     """
     # Numbering copies shuffles the frames; parsing starts again from the written result.
-    marked = cut(identity.frame_duplicates(archive))
+    return parsed(cut(identity.frame_duplicates(archive)), sessions)
+
+
+def parsed(marked: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Marked frames with parse result and session lineage."""
     known = [c for c in S.FROM_METADATA + ["source_shard_sha256"] if c in sessions.columns]
-    parsed = parsing.classify(marked).drop("payload", "raw_frame")
-    return parsed.join(sessions.select("session_id", *known), "session_id", "left")
+    rows = parsing.classify(marked).drop("payload", "raw_frame")
+    return rows.join(sessions.select("session_id", *known), "session_id", "left")
 
 
 def _lineage(df: DataFrame) -> dict[str, Column]:

@@ -27,7 +27,11 @@ def archive_root(spark: SparkSession, folder: str) -> str:
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
-    rows = archive_source.read_archive(spark, archive_root(spark, folder))
+    return frames_of(archive_source.read_archive(spark, archive_root(spark, folder)))
+
+
+def frames_of(rows: DataFrame) -> DataFrame:
+    """Frames under the shard names that their record index gives."""
     shard = F.floor(F.col("record_index") / 5000)
     name = F.concat(F.lit("raw/part-"), F.lpad(shard.cast("string"), 5, "0"), F.lit(".jsonl"))
     return rows.withColumns({"shard": shard, "shard_path": name})
