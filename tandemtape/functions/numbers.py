@@ -96,18 +96,40 @@ def _joined(whole: Column, rest: Column, minus: Column | None = None) -> Column:
     return bind(bind(placed, written), fits)
 
 
-def _of_both(a: Column, b: Column, use) -> Column:
-    """``use`` of both stored numbers, each computed once; null where one is missing."""
-    both = F.struct(a.cast(STORED).alias("a"), b.cast(STORED).alias("b"))
-    return bind(both, lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), use(s["a"], s["b"])))
+# Most numbers have at most nine whole digits and nine places.  Their sums and products fit 38 digits, and quotients of such numbers
+# go through plain longs, so those come out of generated code; only what does not fit takes the long way.
+_NARROW = "decimal(18,9)"
+
+
+def _of_both(a: Column, b: Column, narrow, wide, where=None) -> Column:
+    """``narrow`` of both numbers where they fit (and ``where`` holds), else ``wide`` of both stored numbers; null where one is missing.
+
+    Hand in columns, not long expressions: both are mentioned several times.
+    """
+    a, b = a.cast(STORED), b.cast(STORED)
+    x, y = a.try_cast(_NARROW), b.try_cast(_NARROW)
+    fits = F.coalesce((x.cast(STORED) == a) & (y.cast(STORED) == b), F.lit(False))
+    fits = fits if where is None else fits & where(a, b)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast(STORED)).when(fits, narrow(x, y).cast(STORED)).otherwise(wide(a, b))
+
+
+def _parts_of_both(a: Column, b: Column, use) -> Column:
+    return bind(F.struct(_parts(a).alias("a"), _parts(b).alias("b")), use)
 
 
 def total(a: Column, b: Column) -> Column:
-    return _of_both(a, b, lambda a, b: bind(F.struct(_parts(a).alias("a"), _parts(b).alias("b")), lambda s: _joined(s["a"]["whole"] + s["b"]["whole"], s["a"]["rest"] + s["b"]["rest"])))
+    return _of_both(a, b, lambda x, y: x + y, lambda a, b: _parts_of_both(a, b, lambda s: _joined(s["a"]["whole"] + s["b"]["whole"], s["a"]["rest"] + s["b"]["rest"])))
 
 
 def difference(a: Column, b: Column) -> Column:
-    return _of_both(a, b, lambda a, b: bind(F.struct(_parts(a).alias("a"), _parts(b).alias("b")), lambda s: _joined(s["a"]["whole"] - s["b"]["whole"], s["a"]["rest"] - s["b"]["rest"])))
+    return _of_both(a, b, lambda x, y: x - y, lambda a, b: _parts_of_both(a, b, lambda s: _joined(s["a"]["whole"] - s["b"]["whole"], s["a"]["rest"] - s["b"]["rest"])))
+
+
+def times(value: Column, tens: int) -> Column:
+    """``value`` * 10^``tens`` for a few tens."""
+    value = value.cast(STORED)
+    small = value.try_cast("decimal(28,18)")
+    return F.when(value.isNull(), F.lit(None).cast(STORED)).when(small.isNotNull(), (small * _power(tens)).cast(STORED)).otherwise(product(value, _power(tens)))
 
 
 def midpoint(a: Column, b: Column) -> Column:
@@ -121,7 +143,7 @@ def midpoint(a: Column, b: Column) -> Column:
             lambda t: bind(F.struct(t["w"].alias("w"), F.shiftright(t["r"], 1).alias("q"), (t["r"] % 2).alias("odd")), lambda h: _joined(h["w"], h["q"] + h["odd"] * (h["q"] % 2))),
         )
 
-    return _of_both(a, b, lambda a, b: bind(F.struct(_parts(a).alias("a"), _parts(b).alias("b")), halved))
+    return _of_both(a, b, lambda x, y: (x + y) * F.lit("0.5").cast("decimal(1,1)"), lambda a, b: _parts_of_both(a, b, halved))
 
 
 def product(a: Column, b: Column) -> Column:
@@ -141,7 +163,7 @@ def product(a: Column, b: Column) -> Column:
         up = (s["cut"] > half) | ((s["cut"] == half) & odd)
         return _joined((s["high"] + _quotient(s["middle"], _power(18))).cast(_WHOLE), (s["middle"] % _power(18)).cast("bigint") + up.cast("bigint"), minus)
 
-    return _of_both(a, b, lambda a, b: bind(bind(bind(F.struct(_size(a).alias("a"), _size(b).alias("b")), crossed), carried), lambda s: rounded(s, (a < 0) != (b < 0))))
+    return _of_both(a, b, lambda x, y: x * y, lambda a, b: bind(bind(bind(F.struct(_size(a).alias("a"), _size(b).alias("b")), crossed), carried), lambda s: rounded(s, (a < 0) != (b < 0))))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -187,5 +209,27 @@ def ratio(a: Column, b: Column) -> Column:
         found = F.when(s["by"] < _power(29), bind(block(start), block)).otherwise(one_by_one(s))
         return bind(found, lambda p: rounded(s, p, minus))
 
-    sizes = lambda a, b: F.struct(_size(a).alias("a"), _size(b).alias("b"))
-    return _of_both(a, b, lambda a, b: F.when(b != 0, bind(bind(sizes(a, b), whole), lambda s: places(s, (a < 0) != (b < 0)))))
+    def long_way(a: Column, b: Column) -> Column:
+        sizes = F.struct(_size(a).alias("a"), _size(b).alias("b"))
+        return F.when(b != 0, bind(bind(sizes, whole), lambda s: places(s, (a < 0) != (b < 0))))
+
+    def in_longs(s: Column) -> Column:
+        """Digits in steps of four, from remainders that leave room for them; both numbers are longs of 10^-9."""
+        value, by, sign = F.abs(s["x"]), F.abs(s["y"]), F.when((s["x"] < 0) != (s["y"] < 0), -1).otherwise(1).cast("bigint")
+        left, digits = value % by, F.lit(0).cast("bigint")
+        for step in (10**4, 10**4, 10**4, 10**4, 10**2):
+            digits, left = digits * step + F.call_function("div", left * step, by), (left * step) % by
+        return bind(
+            F.struct(digits.alias("digits"), left.alias("left"), by.alias("by"), (F.call_function("div", value, by) * sign).alias("whole"), sign.alias("sign")), rounded_longs
+        )
+
+    def rounded_longs(s: Column) -> Column:
+        up = (2 * s["left"] > s["by"]) | ((2 * s["left"] == s["by"]) & (s["digits"] % 2 == 1))
+        behind = ((s["sign"] * (s["digits"] + up.cast("bigint"))).cast("decimal(19,0)") * F.lit("1e-18").cast("decimal(18,18)")).cast("decimal(19,18)")
+        return (s["whole"].cast("decimal(19,0)") + behind).cast(STORED)
+
+    def narrow(x: Column, y: Column) -> Column:
+        longs = F.struct(*[(v * _power(9)).cast("bigint").alias(n) for n, v in (("x", x), ("y", y))])
+        return F.when(y != 0, bind(longs, in_longs))
+
+    return _of_both(a, b, narrow, long_way, lambda a, b: (b > -900_000) & (b < 900_000))

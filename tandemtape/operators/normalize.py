@@ -116,31 +116,30 @@ def trades(prepared: DataFrame) -> DataFrame:
     )
 
 
-def quote_measures(bid: Column, bid_size: Column, ask: Column, ask_size: Column) -> dict[str, Column]:
-    """Derived quote columns; ratios are null where their base is zero."""
-    mid, spread, depth = N.midpoint(bid, ask), N.difference(ask, bid), N.total(bid_size, ask_size)
-    relative = N.ratio(spread, mid)
-    return {
-        "midprice": mid,
-        "spread": spread,
-        "relative_spread": relative,
-        "spread_basis_points": N.product(relative, F.lit(10000)),
-        "quoted_depth": depth,
-        "bid_ask_imbalance": N.ratio(N.difference(bid_size, ask_size), depth),
-        "locked_market_indicator": ask == bid,
-        "crossed_market_indicator": ask < bid,
-    }
+def quote_measures(rows: DataFrame, bid: str = "bid_price", bid_size: str = "bid_size", ask: str = "ask_price", ask_size: str = "ask_size") -> DataFrame:
+    """Add the derived quote columns, step by step; ratios are null where their base is zero."""
+    b, bs, a, az = (F.col(c) for c in (bid, bid_size, ask, ask_size))
+    rows = rows.withColumns({
+        "midprice": N.midpoint(b, a), "spread": N.difference(a, b), "quoted_depth": N.total(bs, az), "_lean": N.difference(bs, az),
+        "locked_market_indicator": a == b, "crossed_market_indicator": a < b,
+    })
+    rows = parsing.settled(rows, "midprice", "spread", "quoted_depth", "_lean")
+    rows = rows.withColumns({"relative_spread": N.ratio(F.col("spread"), F.col("midprice")), "bid_ask_imbalance": N.ratio(F.col("_lean"), F.col("quoted_depth"))})
+    rows = parsing.settled(rows, "relative_spread", "bid_ask_imbalance")
+    return rows.withColumn("spread_basis_points", N.times(F.col("relative_spread"), 4)).drop("_lean")
+
+
+DERIVED = ["midprice", "spread", "relative_spread", "spread_basis_points", "quoted_depth", "bid_ask_imbalance", "locked_market_indicator", "crossed_market_indicator"]
 
 
 def quotes(prepared: DataFrame) -> DataFrame:
     rows = parsing.market_records(prepared, "quote")
     prices = ("bid_price", "bid_size", "ask_price", "ask_size")
-    rows = parsing.settled(rows.withColumns({c: N.stored(F.col(c)) for c in prices}), *prices)
+    rows = quote_measures(parsing.settled(rows.withColumns({c: N.stored(F.col(c)) for c in prices}), *prices))
     return _shaped(
         rows, S.QUOTE_COLUMNS,
         _event(rows, "top_of_book", "venue_quote_time")
-        | {c: F.col(c) for c in prices}
-        | quote_measures(*[F.col(c) for c in prices])
+        | {c: F.col(c) for c in (*prices, *DERIVED)}
         | {"quote_change_indicator": F.lit("OBSERVED")},
     )
 

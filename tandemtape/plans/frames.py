@@ -246,8 +246,8 @@ _LONG = {
 def exact_derived_values(spark, folder):
     """Derived trade and quote values of numbers with all 18 places."""
     rows = spark.read.parquet(f"{folder}/orders.parquet").selectExpr("o_orderkey", *[f"{sql} AS {name}" for name, sql in _LONG.items()])
-    values = {"notional": N.product(F.col("ask"), F.col("ask_size"))} | normalize.quote_measures(*[F.col(c) for c in ("bid", "bid_size", "ask", "ask_size")])
-    return rows.select("o_orderkey", *[values[c].cast("string").alias(c) for c in ("notional", *_MEASURES)])
+    rows = normalize.quote_measures(rows.withColumn("notional", N.product(F.col("ask"), F.col("ask_size"))), "bid", "bid_size", "ask", "ask_size")
+    return rows.select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in ("notional", *_MEASURES)])
 
 
 @query("normalized_lineage", using(MARKET, f"""
