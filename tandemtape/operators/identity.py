@@ -287,3 +287,26 @@ def compare_runs(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
         "first_row_count", "second_row_count", "differing_ids",
         (F.col("_same") & (F.col("differing_ids") == 0)).alias("identical"),
     )
+
+
+def run_differences(first: DataFrame, second: DataFrame, key: str, bits: tuple[int, ...] = (24, 12, 0)) -> DataFrame:
+    """The keys at which two outputs differ: key, first_rows, second_rows.
+
+    A hash tree over ranges of the key, a whole number: blocks of 2^24 keys are compared by their order-free fingerprints, differing blocks by
+    blocks of 2^12 keys, and those key by key.  Each level shuffles one row per block and task and goes on with the rows of differing
+    blocks only, so two equal outputs cost one pass.  Rows that repeat count; a null key is a key of its own.
+    """
+    both = first.withColumn("_run", F.lit(1)).unionByName(second.withColumn("_run", F.lit(2)))
+    names = ["row_count", "hash_sum_a", "hash_sum_b"]
+    of = lambda run, c: F.coalesce(F.max(F.when(F.col("_run") == run, F.col(c))), F.lit(0))
+    for shift in bits:
+        block = F.shiftright(F.col(key).cast("bigint"), shift)
+        prints = fingerprint(both.withColumn("_block", block), first.columns, ["_run", "_block"])
+        unlike = [of(1, c) != of(2, c) for c in names]
+        found = prints.groupBy("_block").agg(
+            of(1, "row_count").alias("first_rows"), of(2, "row_count").alias("second_rows"), (unlike[0] | unlike[1] | unlike[2]).alias("_differs"),
+        ).where("_differs").drop("_differs")
+        if shift:
+            found = found.withColumnRenamed("_block", "_in")
+            both = both.join(found, block.eqNullSafe(F.col("_in")), "left_semi")
+    return found.withColumnRenamed("_block", key)

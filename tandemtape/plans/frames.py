@@ -490,6 +490,20 @@ def determinism_check(spark, folder):
     return identity.compare_runs(rows, rows.repartition(7, "o_custkey").sortWithinPartitions("o_custkey"), "o_orderkey")
 
 
+@query("run_differences", """
+  SELECT o_orderkey, count(*) FILTER (WHERE run = 1) AS first_rows, count(*) FILTER (WHERE run = 2) AS second_rows FROM (
+    SELECT o_orderkey, 1 AS run FROM orders UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 1013 <> 7
+    UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 1019 = 3)
+  WHERE o_orderkey % 1009 = 5 OR o_orderkey % 1013 = 7 OR o_orderkey % 1019 = 3 GROUP BY o_orderkey""")
+def run_differences(spark, folder):
+    """Two runs of which the second changes, loses and repeats some rows: the tree names them."""
+    rows = samples.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    key = F.col("o_orderkey")
+    second = rows.where(key % 1013 != 7).unionAll(rows.where(key % 1019 == 3))
+    second = second.withColumn("o_custkey", F.when(key % 1009 == 5, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return identity.run_differences(cut(rows), cut(second.repartition(7, "o_custkey")), "o_orderkey")
+
+
 @query("archive_scan", using("base framed archive", """
   SELECT session_id, count(*) AS records, min(record_index) AS first_index, max(record_index) AS last_index, sum(length(txt)) AS decoded_bytes
   FROM (SELECT *, CASE WHEN frame_type = 'binary' THEN decode(from_base64(raw_frame)) ELSE raw_frame END AS txt FROM archive) GROUP BY 1"""))
@@ -524,3 +538,20 @@ def file_hash_comparison(spark, folder):
     found = tables.content_hashes(spark, root)
     manifest = cut(found)  # what a manifest would have recorded at write time
     return validation.compare_files(manifest, found).groupBy("state").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("manifest_states", """
+  SELECT concat('o_orderpriority=', o_orderpriority) AS folder, CASE left(o_orderpriority, 1) WHEN '1' THEN 'MISMATCH' WHEN '2' THEN 'UNLISTED' ELSE 'EQUAL' END AS state
+  FROM (SELECT DISTINCT o_orderpriority FROM orders) UNION ALL SELECT 'o_orderpriority=none', 'MISSING'""")
+def manifest_states(spark, folder):
+    """A manifest with an altered, a left out and a superfluous entry against the files."""
+    from tandemtape.operators import validation
+
+    root = scratch(spark, "orders")
+    samples.table(spark, folder, "orders").repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(root)
+    found = cut(tables.content_hashes(spark, root))
+    of = lambda digit: F.col("relative_path").startswith(f"o_orderpriority={digit}")
+    manifest = found.where(~of(2)).withColumn("sha256", F.when(of(1), F.sha2(F.col("sha256").cast("binary"), 256)).otherwise(F.col("sha256")))
+    superfluous = found.where(of(1)).withColumn("relative_path", F.lit("o_orderpriority=none/part-0.parquet"))
+    states = validation.compare_files(manifest.unionByName(superfluous), found)
+    return states.select(F.regexp_extract(F.url_decode("relative_path"), "^([^/]+)/", 1).alias("folder"), "state").distinct()
