@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemtape.functions.tails import chi2_tail_even
-from tandemtape.operators.ordered import carry, sliced
+from tandemtape.operators.scans import ROWS, scan
 from tandemtape.session import cut
 
 # Categories and labels of the result tables.
@@ -20,26 +20,21 @@ def usable_p(p: Column) -> Column:
     return F.coalesce(p.isNotNull() & ~F.isnan(p) & p.between(0.0, 1.0), F.lit(False))
 
 
-def false_discovery(tests: DataFrame, alpha: float = 0.05, p: str = "raw_p_value", family: Sequence[str] = ()) -> DataFrame:
+def false_discovery(tests: DataFrame, alpha: float = 0.05, p: str = "raw_p_value", family: Sequence[str] = (), slice_rows: int = ROWS) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values over each whole family.
 
     adjusted = running minimum, from the largest p down, of p * m / rank.  Equal p-values first collapse to one row with
-    a count; ranks and the running minimum are then carried across slices of the p range, so the family may be large.
+    a count; ranks and the running minimum then come from scans over slices of counted rows, so a family may be of any size and shape.
     """
     fam = [*family] or ["_family"]
     rows = tests if family else tests.withColumn("_family", F.lit("all"))
     values = rows.where(usable_p(F.col(p))).groupBy(*fam, p).agg(F.count(F.lit(1)).alias("_n"))
-    # Small p-values are dense near zero, so slices are equal on the log scale.
-    place = F.floor(F.ln(F.greatest(F.col(p), F.lit(1e-320))) * 1000).cast("bigint")
-    placed, track = sliced(cut(values), fam, [p], place, 1)
-    ranked = carry(placed, track, sums={"_rank": F.col("_n")}, totals={"_m": F.col("_n")})
+    # The logarithm to fifteen places keeps the order and hardly any two p-values share it.
+    place = F.floor(F.ln(F.greatest(F.col(p), F.lit(1e-320))) * 1e15).cast("bigint")
+    ranked = scan(cut(values.withColumn("_at", place)), fam, ["_at", p], sums={"_rank": F.col("_n")}, totals={"_m": F.col("_n")}, rows=slice_rows)
     scaled = cut(ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank")))
-    lows = scaled.groupBy(*fam, "_slice").agg(F.min("_raw").alias("_low"))
-    later = Window.partitionBy(*fam).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lows = lows.select(*fam, "_slice", F.min("_low").over(later).alias("_later"))
-    within = Window.partitionBy(*fam, "_slice").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = scaled.join(lows, [*fam, "_slice"]).select(
-        *fam, p, F.least(F.min("_raw").over(within), F.col("_later"), F.lit(1.0)).alias("adjusted_p_value")
+    adjusted = scan(scaled, fam, ["_at", p], lows={"_later": F.col("_raw")}, rows=slice_rows).select(
+        *fam, p, F.least("_raw", "_later", F.lit(1.0)).alias("adjusted_p_value")
     )
     out = rows.join(adjusted, [*fam, p], "left")
     decided = out.withColumn(

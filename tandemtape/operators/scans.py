@@ -88,16 +88,17 @@ def _boxed(looks: Look) -> dict[str, Column]:
 
 def scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *, before: Look | None = None, upto: Look | None = None,
-    after: Look | None = None, sums: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None, rows: int = ROWS,
+    after: Look | None = None, sums: Mapping[str, Column] | None = None, totals: Mapping[str, Column] | None = None,
+    lows: Mapping[str, Column] | None = None, rows: int = ROWS,
 ) -> DataFrame:
     """Add order-dependent columns to each row of its key's sequence; runs jobs when called.
 
     ``before``: value at the latest earlier row, ``upto``: value at the latest row up to the current one, ``after``: value at the
     earliest later row; each may be a pair (value, condition).  ``sums``: running total, current included; ``totals``: over the whole
-    sequence.  ``order`` starts with a whole number without nulls.  ``df`` is a scan or a cut table.
+    sequence; ``lows``: least value of the later rows.  ``order`` starts with a whole number without nulls.  ``df`` is a scan or a cut table.
     """
     keys, before, upto, after = list(keys), dict(before or {}), dict(upto or {}), dict(after or {})
-    sums, totals = dict(sums or {}), dict(totals or {})
+    sums, totals, lows = dict(sums or {}), dict(totals or {}), dict(lows or {})
     boxes = _boxed({**before, **upto, **after})
     added = {**sums, **totals}
     inside = Window.partitionBy(*keys, "_lo").orderBy(*order)
@@ -109,31 +110,34 @@ def scan(
     sliced = counted_slices(df, keys, order[0], rows)
     passed = cut(sliced.select(
         *df.columns, "_lo", is_end.alias("_end"), *[near(n).alias(f"_n_{n}") for n in boxes], *[F.sum(v).over(present).alias(f"_n_{n}") for n, v in sums.items()],
+        *[F.min(v).over(rest).alias(f"_n_{n}") for n, v in lows.items()], *[F.when(is_end, F.min(v).over(whole)).alias(f"_t_{n}") for n, v in lows.items()],
         *[F.when(is_end, edge(n)).alias(f"_t_{n}") for n in boxes], *[F.when(is_end, F.sum(v).over(whole)).alias(f"_t_{n}") for n, v in added.items()],
     ))
-    ends = _across(passed.where("_end").select(*keys, "_lo", *[f"_t_{n}" for n in (*boxes, *added)]), keys, before, upto, after, sums, totals, rows)
+    ends = _across(passed.where("_end").select(*keys, "_lo", *[f"_t_{n}" for n in (*boxes, *added, *lows)]), keys, before, upto, after, sums, totals, lows, rows)
     met = _on(passed, ends, [*keys, "_lo"], "left")
     return met.select(
         *df.columns, *[F.coalesce(F.col(f"_n_{n}"), F.col(f"_c_{n}"))["v"].alias(n) for n in boxes],
         *[(F.coalesce(f"_n_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums], *[F.col(f"_c_{n}").alias(n) for n in totals],
+        *[F.least(f"_n_{n}", f"_c_{n}").alias(n) for n in lows],
     )
 
 
-def _across(ends: DataFrame, keys, before, upto, after, sums, totals, rows: int) -> DataFrame:
-    """What each slice takes from the others of its key: the nearest edge value on its side, the total before it, the whole total."""
+def _across(ends: DataFrame, keys, before, upto, after, sums, totals, lows, rows: int) -> DataFrame:
+    """What each slice takes from the others of its key: the nearest edge value on its side, the total before it, the whole total, the least later value."""
     t = lambda n: F.col(f"_t_{n}")
     many = ends.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if many > rows:
         again = scan(
             ends.withColumnRenamed("_lo", "_at"), keys, ["_at"], before={f"_c_{n}": (t(n), t(n).isNotNull()) for n in (*before, *upto)}, after={f"_c_{n}": (t(n), t(n).isNotNull()) for n in after},
-            sums={f"_c_{n}": t(n) for n in sums}, totals={f"_c_{n}": t(n) for n in totals}, rows=rows,
+            sums={f"_c_{n}": t(n) for n in sums}, totals={f"_c_{n}": t(n) for n in totals}, lows={f"_c_{n}": t(n) for n in lows}, rows=rows,
         )
         return again.select(
-            *keys, F.col("_at").alias("_lo"), *[f"_c_{n}" for n in (*before, *upto, *after, *totals)], *[(F.col(f"_c_{n}") - F.coalesce(t(n), F.lit(0))).alias(f"_c_{n}") for n in sums],
+            *keys, F.col("_at").alias("_lo"), *[f"_c_{n}" for n in (*before, *upto, *after, *totals, *lows)], *[(F.col(f"_c_{n}") - F.coalesce(t(n), F.lit(0))).alias(f"_c_{n}") for n in sums],
         )
     line = Window.partitionBy(*keys).orderBy("_lo")
     earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
     return ends.select(
         *keys, "_lo", *[F.last(t(n), True).over(earlier).alias(f"_c_{n}") for n in (*before, *upto)], *[F.first(t(n), True).over(later).alias(f"_c_{n}") for n in after],
         *[F.sum(t(n)).over(earlier).alias(f"_c_{n}") for n in sums], *[F.sum(t(n)).over(Window.partitionBy(*keys)).alias(f"_c_{n}") for n in totals],
+        *[F.min(t(n)).over(later).alias(f"_c_{n}") for n in lows],
     )

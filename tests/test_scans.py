@@ -44,7 +44,7 @@ def test_scan_matches_plain_python(spark, kind, rows):
     v = F.col("v")
     got = scan(
         df, ["k"], ["p"], before={"prev": v, "prev_some": (v, v.isNotNull())}, upto={"last_some": (v, v.isNotNull())},
-        after={"next_big": (v, v > 5)}, sums={"running": v}, totals={"total": v}, rows=rows,
+        after={"next_big": (v, v > 5)}, sums={"running": v}, totals={"total": v}, lows={"low": v}, rows=rows,
     ).collect()
     assert len(got) == len(data)
     for key in {k for k, _, _ in data}:
@@ -58,6 +58,21 @@ def test_scan_matches_plain_python(spark, kind, rows):
             assert r.next_big == next((x for x in later if x is not None and x > 5), None)
             assert r.running == sum(x for x in [*past, value] if x is not None)
             assert (r.total or 0) == sum(x for _, x in seq if x is not None)
+            assert r.low == min((x for x in later if x is not None), default=None)
+
+
+def test_false_discovery_of_a_skewed_family(spark):
+    from tandemtape.operators import inference
+
+    r = random.Random(8)
+    values = [1 - r.random() * 1e-9 for _ in range(600)] + [r.random() ** 40 for _ in range(200)] + [0.0, 0.0, 1.0, 1e-310, 1e-300]
+    tests = spark.createDataFrame([("f", p) for p in values] + [("g", 0.5), ("f", None), ("g", float("nan"))], "fam string, raw_p_value double")
+    got = inference.false_discovery(tests, family=["fam"], slice_rows=32).where("fam = 'f' AND raw_p_value IS NOT NULL").collect()
+    ordered, m, low, expected = sorted(values), len(values), 1.0, {}
+    for rank in range(m, 0, -1):
+        low = min(low, ordered[rank - 1] * m / rank)
+        expected[ordered[rank - 1]] = min(expected.get(ordered[rank - 1], 1.0), low)
+    assert len(got) == m and all(x.adjusted_p_value == pytest.approx(expected[x.raw_p_value], rel=1e-12) for x in got)
 
 
 def test_no_rows(spark):
