@@ -183,6 +183,17 @@ def _bits_for(keys: int) -> int:
     return min(max(16, (16 * keys).bit_length()), MOST_BITS)
 
 
+def _stored_small(df: DataFrame) -> DataFrame:
+    """``df`` cut under a codec that packs word lists well; the session's own setting holds again afterwards."""
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.compression.codec"
+    usual = conf.get(name)
+    conf.set(name, "zstd")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, usual)
+
+
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, covered: int = 100) -> DataFrame:
     """The ``top`` phrases of 2 to ``longest`` words of every language by their weakest cut: lang, rank, phrase, a, l, r, n, score.
 
@@ -196,7 +207,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     spark = docs.sparkSession
     drop_shuffles_early(spark)
     docs = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), text_of("text").cast("binary").alias("text"))
-    chunks = cut(_chunks(docs))
+    chunks = _stored_small(_chunks(docs))
     entries = chunks.select(F.inline("entries"))
     totals = cut(entries.groupBy("lang").agg(F.sum("c").alias("n")))
     words = cut(entries.groupBy("lang", "word", "id").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
