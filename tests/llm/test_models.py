@@ -59,6 +59,28 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert toxicity.score(docs, labels.limit(0)).where("predicted = 0").count() == len(got) and toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_rare_short_and_inflected_insults_are_learned(spark):
+    """An insult in 12 of 3,000 documents, one of three letters in 60, and a stem with free endings that clean documents hold now and then."""
+    rows, marks, kind = [], [], {}
+    for i in range(3000):
+        text = prose(i, 60).translate(LETTERS).split()
+        kind[i] = "rare" if i % 250 == 7 else "short" if i % 50 == 3 else "stem" if i % 20 == 11 else ""
+        ending = lambda k: f"{i * 7 + k}".translate(LETTERS)
+        if kind[i] == "stem":
+            text[5:9] = [f"grumbel{ending(k)}" for k in range(4)]
+        elif kind[i]:
+            text[5] = {"rare": "zounderkite", "short": "oaf"}[kind[i]]
+        elif i % 6 == 0:
+            text[9] = f"grumbel{ending(1)}"
+        rows.append((i, " ".join(text), "en", "a", 0))
+        marks.append((i, 1, int(kind[i] != "")))
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, rows), frame(spark, marks, "doc_id long, quality int, toxic int")).collect()}
+    for name in ("rare", "short", "stem"):
+        held = [got[i].predicted for i in kind if kind[i] == name and got[i].held_out]
+        assert held and np.mean(held) >= 0.9, (name, held)
+    assert np.mean([got[i].predicted for i in kind if not kind[i]]) <= 0.01
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_trie_scores_agree_with_counting(spark, order):
     rows = [(i, f"{prose(i, 30, 60)}\nThe END {prose(i % 7, 12)}", "en", "a", 0) for i in range(120)] + odd_rows()
