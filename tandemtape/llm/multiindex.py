@@ -6,6 +6,7 @@ of all vectors; their entries are ranked by exact distance.
 
 Codebooks and the share are fitted on a hash sample of about ``sample_rows`` vectors: the share is the smallest at which exact neighbours
 within the sample are found with the wanted recall.  In the whole table neighbours are nearer and the recall higher.
+Cells are found on vectors moved by the sample's medians and divided by its usual size; scores come from differences of the original ones.
 Every vector is indexed.  Cells are gathered into blocks of about ``block_rows`` entries, a larger cell takes several blocks, and a
 block meets the queries that reach it as one matrix product, in slices of a bounded number of queries.
 """
@@ -53,12 +54,60 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis; squares that leave the range of doubles are taken of differences divided by their largest."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        apart = q - x
+        out = np.sqrt(np.square(apart).sum(-1))
+        odd = ~((out > 1e-150) & (out < 1e150))
+        if odd.any():
+            most = np.abs(apart[odd]).max(-1)
+            unit = np.where((most > 0) & np.isfinite(most), most, 1.0)
+            out[odd] = np.where(np.isfinite(most), most * np.sqrt(np.square(apart[odd] / unit[:, None]).sum(-1)), np.inf)
+    return out
+
+
+def nearest_rows(q: np.ndarray, x: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the ``k`` nearest allowed rows: positions, distances and whether there is such a row.
+
+    One product of the centred matrices finds candidates.  Where its rounding could hide a nearer row, that query is measured against all.
+    """
+    few = min(k + 16, len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = x.mean(0)
+        a, b = q - centre, x - centre
+        long_a, long_b = np.square(a).sum(1), np.square(b).sum(1)
+        near = long_a[:, None] - 2 * a @ b.T + long_b[None]
+        error = 8 * np.finfo(float).eps * (x.shape[1] + 2) * (long_a + long_b.max())
+        near = np.where(allowed, near, np.inf)
+        picked = np.argpartition(near, few - 1, 1)[:, :few]
+        found = np.sort(np.take_along_axis(near, picked, 1), 1)
+        sure = (allowed.sum(1) <= few) | (found[:, -1] - error > found[:, min(k, few) - 1] + error)
+        sure &= np.isfinite(error)
+    score = distances(q[:, None], x[picked])
+    real = np.take_along_axis(allowed, picked, 1)
+    order = np.lexsort((ids[picked], np.where(real, score, np.inf), ~real), axis=1)[:, :k]
+    at, score, real = (np.take_along_axis(v, order, 1) for v in (picked, score, real))
+    for i in np.flatnonzero(~sure):
+        full = distances(q[i][None], x)
+        order = np.lexsort((ids, full, ~allowed[i]))[:k]
+        at[i], score[i], real[i] = order, full[order], allowed[i][order]
+    return at, score, real
+
+
 @dataclass
 class MultiIndex:
     half: int
     left: np.ndarray
     right: np.ndarray
     share: float
+    centre: np.ndarray
+    scale: float
+
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        """Vectors near the origin and of usual size; far-off components are cut to a thousand sizes, which only places them in a cell."""
+        with np.errstate(over="ignore"):
+            return np.clip((x - self.centre) / self.scale, -1e3, 1e3)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest_centroid(x[:, : self.half], self.left) * len(self.right) + nearest_centroid(x[:, self.half :], self.right)
@@ -93,10 +142,15 @@ class MultiIndex:
 
 
 def fit(sample: np.ndarray, rows: int, k: int, recall: float, probes: int = 256, most: int = 256) -> MultiIndex:
+    centre = np.median(sample, axis=0)
+    with np.errstate(over="ignore"):
+        spread = np.minimum(np.abs(sample - centre), np.finfo(float).max)
+    scale = float(np.quantile(spread, 0.99)) or float(spread.max()) or 1.0
     size = int(np.clip(2 ** round(np.log2(max(np.sqrt(rows / 4), 1))), 4, most))
     half = sample.shape[1] // 2
-    left = codebook(sample[:, :half], size if half else 1)
-    index = MultiIndex(half, left, codebook(sample[:, half:], size), 1.0)
+    index = MultiIndex(half, np.zeros((1, half)), np.zeros((1, 1)), 1.0, centre, scale)
+    sample = index.moved(sample)
+    index.left, index.right = codebook(sample[:, :half], size if half else 1), codebook(sample[:, half:], size)
     cells = index.cells(sample)
     counts = np.bincount(cells, minlength=len(index.left) * len(index.right))
     needs = []
@@ -136,7 +190,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = index.cells(matrix(b.column("embedding"))) if b.num_rows else np.zeros(0, np.int64)
+            cells = index.cells(index.moved(matrix(b.column("embedding")))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(cells, pa.int32())], ["vec_id", "embedding", "cell"])
 
     entries = cut(indexed.mapInArrow(assign, "vec_id long, embedding array<double>, cell int"))
@@ -161,7 +215,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, of, cells = [], [], []
-            for i, q in enumerate(matrix(b.column("embedding")) if b.num_rows else ()):
+            for i, q in enumerate(index.moved(matrix(b.column("embedding"))) if b.num_rows else ()):
                 wanted: dict[int, list[int]] = {}
                 for cell in index.visited(q, counts, least):
                     for part in range(int(parts[cell])):
@@ -192,16 +246,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
             some = right.iloc[start : start + 256]
             q, own = np.vstack(some["query"].to_numpy()), some["query_id"].to_numpy(np.int64)
             reached = np.array([np.isin(names, c) for c in some["cells"]])
-            near = np.square(q).sum(1)[:, None] - 2 * q @ x.T + np.square(x).sum(1)[None]
-            near[~reached[:, at] | (own[:, None] == ids[None])] = np.inf
-            few = min(k + 16, len(ids))
-            picked = np.argpartition(near, few - 1, 1)[:, :few]
-            exact = np.sqrt(np.square(q[:, None] - x[picked]).sum(2))
-            exact[~np.isfinite(np.take_along_axis(near, picked, 1))] = np.inf
-            order = np.lexsort((ids[picked], exact), axis=1)[:, :k]
-            score = np.take_along_axis(exact, order, 1)
-            keep = np.isfinite(score)
-            out.append(pd.DataFrame({"query_id": np.broadcast_to(own[:, None], score.shape)[keep], "vec_id": ids[np.take_along_axis(picked, order, 1)][keep], "score": score[keep]}))
+            at_row, score, keep = nearest_rows(q, x, reached[:, at] & (own[:, None] != ids[None]), ids, k)
+            out.append(pd.DataFrame({"query_id": np.broadcast_to(own[:, None], score.shape)[keep], "vec_id": ids[at_row][keep], "score": score[keep]}))
         return pd.concat(out)
 
     spread = blocks.join(asked, "block")

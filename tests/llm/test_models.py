@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tandemtape.llm import ngramtrie, toxicity, webtext
+from tandemtape.llm import multiindex, ngramtrie, toxicity, webtext
 
 from .helpers import clashing, frame, odd_rows, prose, remainder, words
 
@@ -151,3 +151,32 @@ def test_main_text_of_pages(spark):
 def test_tree_fits_its_table():
     rows = np.array([[float(v) for v in row.split()] for row in webtext.LABELLED.replace("\n", ";").split(";") if row.strip()])
     assert (webtext.trained().predict(rows[:, 1:]) == rows[:, 0].astype(bool)).all()
+
+
+@pytest.mark.parametrize("offset,size", [(1e8, 1.0), (0.0, 1e200), (0.0, 1e-200)])
+def test_neighbours_of_far_off_huge_and_tiny_vectors(spark, offset, size):
+    x = offset + np.random.default_rng(4).normal(size=(900, 8)) * size
+    got = multiindex.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 9 * 10
+    hits = 0
+    for q in range(0, 900, 100):
+        apart = np.abs(x - x[q])
+        unit = apart.max()
+        far = unit * np.sqrt(np.square(apart / unit).sum(1))
+        far[q] = np.inf
+        wanted = set(np.lexsort((np.arange(900), far))[:10].tolist())
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        hits += len(wanted & {v for _, v, _ in own})
+        assert [r for r, _, _ in own] == list(range(1, 11)) and all(s == pytest.approx(far[v], rel=1e-12) for _, v, s in own)
+    assert hits >= 0.9 * 90
+
+
+def test_nearest_rows_agree_with_differences_beside_an_outlier():
+    r = np.random.default_rng(5)
+    x, ids = np.vstack([r.normal(size=(300, 6)) + 1e8, np.full((1, 6), 1e200)]), np.arange(301)
+    q = np.vstack([x[:20] + 1e-3, x[-1:]])
+    allowed = r.random((21, 301)) < 0.7
+    at, score, real = multiindex.nearest_rows(q, x, allowed, ids, 10)
+    for i in range(21):
+        far = multiindex.distances(q[i][None], x)
+        assert at[i].tolist() == np.lexsort((ids, far, ~allowed[i]))[:10].tolist() and (score[i] == far[at[i]]).all() and real[i].all()
