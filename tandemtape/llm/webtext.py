@@ -1,6 +1,7 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
-A page is cut into blocks at block-level tags.  A block is described by its words and link density, those of the blocks before and
+A page is cut into blocks at block-level tags.  A name (class or id) that tells of furniture counts neither on html, body and main, nor on the
+first article element and what contains it; on later articles only as a whole class, so that reader comments stay marked.  A block is described by its words and link density, those of the blocks before and
 after it, and where it stands: inside an element that names itself as page furniture, and inside or outside an article element if the page has
 one.  The tree is grown on the small labelled table below.  Blocks it takes for text are joined in page order.
 """
@@ -26,6 +27,9 @@ BLOCK = frozenset(
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select datalist".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that end an open paragraph, and those whose own class and id say nothing of their content.
+ENDS_P = BLOCK - frozenset("body button caption html legend optgroup option select summary tbody td tfoot th thead title tr".split())
+WHOLE = frozenset("html body main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 #: Words in class and id that name page furniture, and those that name the article.
 NAMES = frozenset(
@@ -96,6 +100,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int, bool, bool]] = []
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, article: of this element or one around it
+        self.firm: list[bool] = []  # furniture by tag or role, not by name alone, for each open element
+        self.articles = 0
         self.text: list[str] = []
         self.linked: list[str] = []
         self.links = 0
@@ -104,6 +110,18 @@ class Blocks(HTMLParser):
     def here(self) -> tuple[bool, bool, bool]:
         return self.open[-1][1:] if self.open else (False, False, False)
 
+    def close_from(self, i: int) -> None:
+        del self.open[i:], self.firm[i:]
+
+    def end_open(self, tag: str, within: frozenset) -> None:
+        """Ends the last open ``tag`` unless an element of ``within`` was opened in it since."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                self.close_from(i)
+                return
+            if self.open[i][0] in within:
+                return
+
     def end_block(self) -> None:
         if self.text:
             words = "".join(self.text).split()
@@ -118,6 +136,10 @@ class Blocks(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
             self.linked.append(" ")
+        if tag in ENDS_P:
+            self.end_open("p", BLOCK)
+        if tag == "li":
+            self.end_open("li", frozenset(("ul", "ol", "menu")))
         if tag == "a":
             self.links += 1
         if tag in VOID or tag == "p" or tag == "li":
@@ -129,6 +151,13 @@ class Blocks(HTMLParser):
         silent, furniture, article = self.here()
         named = dict(attrs)
         names = names_in(f"{named.get('class') or ''} {named.get('id') or ''}") if "class" in named or "id" in named else set()
+        firm = bool(self.firm) and self.firm[-1]
+        if tag in WHOLE:
+            names = set()
+        elif tag == "article":
+            self.articles += 1
+            names = set((named.get("class") or "").lower().split()) if self.articles > 1 else set()
+            furniture = furniture if self.articles > 1 else firm
         role = (named.get("role") or "").lower()
         inside = article
         if tag in ("article", "main") or role in ("main", "article") or (tag in ("div", "section") and names & MAIN_NAMES and not names & NAMES):
@@ -137,6 +166,7 @@ class Blocks(HTMLParser):
         hidden = "hidden" in named or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         if tag in BLOCK or tag in SILENT or furnishing or hidden:
             self.open.append((tag, silent or tag in SILENT or hidden, furniture or furnishing, inside))
+            self.firm.append(firm or tag in FURNITURE or role in ROLES)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,7 +182,7 @@ class Blocks(HTMLParser):
             self.links = max(0, self.links - 1)
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self.close_from(i)
                 break
 
     def handle_data(self, data: str) -> None:

@@ -148,6 +148,18 @@ def test_main_text_of_pages(spark):
     assert webtext.extract(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("before,after", [
+    ("<body class='has-sidebar'><article>", "</article>"), ("<div class='content-with-sidebar'><article>", "</article></div>"), ("<article class='post category-legal'>", "</article>"),
+    ("<article id='story-comments-on-law'>", "</article>"), ("<article><p class='share'>Share this", "</article>"), ("<article><ul><li class='share'>Share this<li>Listed</ul>", "</article>"),
+])
+def test_names_around_the_article_and_open_paragraphs_hide_nothing(before, after):
+    told = [prose(i, 30) for i in range(3)]
+    comments = "<section class='comments'><article class='comment'><p>I liked this a lot and read it twice in one evening</p></article></section>"
+    page = "<nav><a href=a>Home</a></nav>" + before + "".join(f"<p>{t}</p>" for t in told) + after + comments + "<aside>More to read</aside>"
+    got = webtext.main_text(page, webtext.trained())
+    assert got.removeprefix("Listed\n\n") == "\n\n".join(told)
+
+
 def test_tree_fits_its_table():
     rows = np.array([[float(v) for v in row.split()] for row in webtext.LABELLED.replace("\n", ";").split(";") if row.strip()])
     assert (webtext.trained().predict(rows[:, 1:]) == rows[:, 0].astype(bool)).all()
