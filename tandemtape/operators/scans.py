@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandemtape.operators.ordered import later_rows
 from tandemtape.session import cut
 
 ROWS = 1 << 18
@@ -103,9 +104,10 @@ def scan(
     added = {**sums, **totals}
     inside = Window.partitionBy(*keys, "_lo").orderBy(*order)
     past, present = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
-    rest, whole = inside.rowsBetween(1, Window.unboundedFollowing), inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = later_rows([*keys, "_lo"], order)
     is_end = F.lead(F.lit(1)).over(inside).isNull()
-    near = lambda n: F.first(boxes[n], True).over(rest) if n in after else F.last(boxes[n], True).over(past if n in before else present)
+    near = lambda n: F.last(boxes[n], True).over(rest if n in after else past if n in before else present)
     edge = lambda n: (F.first if n in after else F.last)(boxes[n], True).over(whole)
     sliced = counted_slices(df, keys, order[0], rows)
     passed = cut(sliced.select(
@@ -135,9 +137,9 @@ def _across(ends: DataFrame, keys, before, upto, after, sums, totals, lows, rows
             *keys, F.col("_at").alias("_lo"), *[f"_c_{n}" for n in (*before, *upto, *after, *totals, *lows)], *[(F.col(f"_c_{n}") - F.coalesce(t(n), F.lit(0))).alias(f"_c_{n}") for n in sums],
         )
     line = Window.partitionBy(*keys).orderBy("_lo")
-    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    earlier, later = line.rowsBetween(Window.unboundedPreceding, -1), later_rows(keys, ["_lo"])
     return ends.select(
-        *keys, "_lo", *[F.last(t(n), True).over(earlier).alias(f"_c_{n}") for n in (*before, *upto)], *[F.first(t(n), True).over(later).alias(f"_c_{n}") for n in after],
+        *keys, "_lo", *[F.last(t(n), True).over(earlier).alias(f"_c_{n}") for n in (*before, *upto)], *[F.last(t(n), True).over(later).alias(f"_c_{n}") for n in after],
         *[F.sum(t(n)).over(earlier).alias(f"_c_{n}") for n in sums], *[F.sum(t(n)).over(Window.partitionBy(*keys)).alias(f"_c_{n}") for n in totals],
         *[F.min(t(n)).over(later).alias(f"_c_{n}") for n in lows],
     )

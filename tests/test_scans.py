@@ -87,3 +87,20 @@ def test_missing_spans_shuffle_the_ids_once(spark):
     got = sorted((r.missing_from, r.missing_to) for r in spans.where("k = 's'").collect())
     assert got[:3] == [(1, 4), (6, 10**9 - 1), (10**9 + 1, 2 * 10**9 - 1)] and len(got) == 50
     assert [(r.missing_from, r.missing_to) for r in spans.where("k is null").collect()] == [(2, 3)]
+
+
+@pytest.mark.parametrize("operator", ["scan", "carry"])
+def test_rows_ahead_are_not_read_anew_for_each_row(spark, monkeypatch, operator):
+    """A frame from the row after the current one to the end costs the square of the rows in a slice."""
+    from tandemtape.operators import ordered, scans
+
+    monkeypatch.setattr(scans, "cut", lambda df: df)
+    df = spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("p"), (F.col("id") % 7).alias("v"))
+    ahead = {"next": (F.col("v"), F.col("v") == 0)}
+    if operator == "scan":
+        got = scan(df, ["k"], ["p"], after=ahead, lows={"low": F.col("v")})
+    else:
+        got = ordered.carry(*ordered.sliced(df, ["k"], ["p"], "p", 1000), after=ahead)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "RowFrame, 1, unboundedfollowing" not in plan
+    assert got.where("p = 4990").first().next == 0 and got.where("next IS NULL").count() == 5000 - 4998
