@@ -16,3 +16,19 @@ def test_planted_changes_are_named(spark):
     assert identity.run_differences(first, first.repartition(3), "k").collect() == []
     empty = spark.createDataFrame([], schema)
     assert identity.run_differences(empty, empty, "k").collect() == []
+
+
+def test_run_differences_name_a_row_both_lost_and_repeated(spark, tmp_path):
+    """The key 688847 is lost by one rule and repeated by the other, so both runs hold it once."""
+    import duckdb
+
+    from tandemtape.plans.registry import ORACLES, QUERIES
+    import tandemtape.plans  # noqa: F401
+
+    rows = [(k, 10 * k, "O") for k in (3, 5, 7, 100, 1014, 1020, 688847)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["run_differences"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        want = con.sql(ORACLES["run_differences"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and (688847, 1, 1) in want
