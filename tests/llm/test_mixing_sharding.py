@@ -88,3 +88,14 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
 def test_shards_of_odd_rows(spark):
     got = sharding.kd_shards(frame(spark, odd_rows()), shards=3).collect()
     assert len(got) == 10 and {r.size for r in got if r.doc_id in (1, 2)} == {16}
+
+
+def test_amounts_follow_the_schedules(spark, monkeypatch):
+    """What a document gives depends on when its uses end, so schedules that never reach the end take every use whole."""
+    from pyspark.sql import functions as F
+
+    # A source without any words has no target to divide by.
+    docs = frame(spark, [(i, "w " * 10, "en", "a", 0) for i in range(100)] + [(100, "", "en", "b", 0)])
+    assert sum(r.taken for r in mixing.plan_mix(docs, keep=["doc_id"]).collect()) == 1500
+    monkeypatch.setattr(mixing, "due", lambda demand, rank, schedules: F.lit(0.5))
+    assert sum(r.taken for r in mixing.plan_mix(docs, keep=["doc_id"]).collect()) == 2000
