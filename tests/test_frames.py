@@ -142,3 +142,20 @@ def test_changed_file_is_found(spark, tmp_path):
     spark.range(6).write.mode("append").parquet(root)
     states = {r.state for r in validation.compare_files(recorded, tables.content_hashes(spark, root)).collect()}
     assert states == {"EQUAL", "UNLISTED"}
+
+
+def test_archive_tasks_are_bounded_and_write_sorted_shards(spark, tmp_path, monkeypatch):
+    import json
+
+    monkeypatch.setattr(archive_source, "FRAMES_PER_TASK", 50)
+    monkeypatch.setattr(archive_source, "FRAMES_PER_SHARD", 20)
+    rows = spark.range(600).select(
+        F.lit("1").alias("archive_schema_version"), F.col("id").alias("record_index"), F.lit("s").alias("collector_session_id"), F.lit("kraken").alias("venue"),
+        F.lit("BTC-USD").alias("canonical_instrument"), F.lit("BTC/USD").alias("venue_symbol"), F.timestamp_micros("id").alias("local_receipt_ts"),
+        F.lit("text").alias("frame_type"), F.lit("utf-8").alias("frame_encoding"), F.lit("{}").alias("raw_frame"), F.lit(2).cast("long").alias("raw_frame_byte_length"),
+        *[F.lit(None).cast("string").alias(c) for c in ("message_type", "source_channel")], F.lit(None).cast("timestamp").alias("exchange_ts"),
+    )
+    archive_source.write_archive(rows, str(tmp_path / "a"), 600)
+    shards = [[json.loads(line)["record_index"] for line in f.read_text().splitlines()] for f in (tmp_path / "a").rglob("*.json")]
+    assert len(shards) >= 6 and max(map(len, shards)) <= 200 and all(s == sorted(s) for s in shards)
+    assert sorted(i for s in shards for i in s) == list(range(600))
