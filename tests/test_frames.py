@@ -159,3 +159,20 @@ def test_archive_tasks_are_bounded_and_write_sorted_shards(spark, tmp_path, monk
     shards = [[json.loads(line)["record_index"] for line in f.read_text().splitlines()] for f in (tmp_path / "a").rglob("*.json")]
     assert len(shards) >= 6 and max(map(len, shards)) <= 200 and all(s == sorted(s) for s in shards)
     assert sorted(i for s in shards for i in s) == list(range(600))
+
+
+NUMBERS = {  # text: above zero, zero or more
+    "1": (True, True), "+.5": (True, True), "1e-30": (True, True), "0": (False, True), "-0.0": (False, True), "0e9": (False, True), "-.0E5": (False, True),
+    "-5": (False, False), " -5": (False, False), "\t-5": (False, False), "1,5": (False, False), "": (False, False), "NaN": (False, False), "00.10 ": (True, True),
+}
+
+
+def test_signs_of_numbers_with_any_white_space_before(spark):
+    frames = [(p, MATCH | {"price": t}) for t, (p, _) in NUMBERS.items()] + [(z, TICKER | {"best_bid_size": t}) for t, (_, z) in NUMBERS.items()]
+    frames += [(z, kr("ticker", QUOTE | {"ask_qty": t})) for t, (_, z) in NUMBERS.items()]
+    # Neither a boolean nor a nested value is a number, an id, a text or a time.
+    frames += [(False, message | {name: value}) for message, names in ((MATCH, ("price", "trade_id", "side", "time")), (TICKER, ("best_ask_size", "sequence"))) for name in names for value in (True, [1], {"a": 1}, None)]
+    rows = [(i, "kraken" if "channel" in m else "coinbase", "text", json.dumps(m)) for i, (_, m) in enumerate(frames)]
+    df = spark.createDataFrame(rows, "record_index long, venue string, frame_type string, raw_frame string")
+    kinds = {r.record_index: r.result_kind for r in parsing.classify(df).select("record_index", "result_kind").collect()}
+    assert [kinds[i] in ("trade", "quote") for i in range(len(frames))] == [good for good, _ in frames]
