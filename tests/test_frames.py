@@ -176,3 +176,11 @@ def test_signs_of_numbers_with_any_white_space_before(spark):
     df = spark.createDataFrame(rows, "record_index long, venue string, frame_type string, raw_frame string")
     kinds = {r.record_index: r.result_kind for r in parsing.classify(df).select("record_index", "result_kind").collect()}
     assert [kinds[i] in ("trade", "quote") for i in range(len(frames))] == [good for good, _ in frames]
+
+
+def test_copies_are_numbered_without_the_frame_texts(spark):
+    sessions = spark.createDataFrame([("s-coinbase", "a-1")], "session_id string, campaign_attempt_id string")
+    ready = normalize.prepare(frame_rows(spark), sessions)
+    plan = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_frame#" not in plan and "payload#" not in plan
+    assert ready.where("duplicate_count > 1").count() == 0 and ready.count() == len(CASES) + 4
