@@ -49,9 +49,10 @@ def _value(x: Column) -> Column:
 def _hashed(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """keys, _both (template word t and plain word v) and _words: hashes of the template word and of the value, and 1 for placeholders.
 
-    The explodes of one element keep these from being computed anew at each use.
+    The explodes of one element keep these and the spaced text from being computed anew at each use.
     """
-    both = F.arrays_zip(F.split(templated(spaced(text)), " ").alias("t"), F.split(spaced(text), " ").alias("v"))
+    rows = rows.select(*keys, F.explode(F.array(spaced(text))).alias("_text"))
+    both = F.arrays_zip(F.split(templated(F.col("_text")), " ").alias("t"), F.split("_text", " ").alias("v"))
     rows = rows.select(*keys, F.explode(F.array(F.filter(both, lambda x: x["t"] != ""))).alias("_both"))
     slot = lambda x: x["t"].startswith("#")
     word = lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), F.when(slot(x), F.xxhash64(_value(x))).otherwise(F.xxhash64(x["t"])).alias("r"), slot(x).cast("int").alias("k"))
@@ -74,11 +75,18 @@ def _at_all(n: int, of: Callable[[Column], Column]) -> Column:
 
 
 def _runs(rows: DataFrame, keys: Sequence[str], text: str, lengths: Sequence[int], windows: bool) -> DataFrame:
-    """A row per run of each of the ``lengths``, with its hash h, and if wanted per window."""
-    run = lambda n: lambda at: _run_hash(at, n)
-    parts = [_at_all(n, run(n)) for n in lengths] + ([_at_all(WIDTH, _window_hash)] if windows else [])
-    none = F.array().cast("array<bigint>")
-    return _hashed(rows, keys, text).select(*keys, F.explode(F.concat(none, *[F.coalesce(p, none) for p in parts])).alias("h"))
+    """A row per run of each of the ``lengths``, with its hash h, and if wanted per window.
+
+    A row per start comes first: hashes of a row are generated code, those inside a function of an array are interpreted.
+    """
+    at = F.col("_at")
+    fits = lambda n, h: F.when(at <= F.size("_words") - n, h)
+    hashes = [fits(n, _run_hash(at, n)) for n in lengths] + ([fits(WIDTH, _window_hash(at))] if windows else [])
+    least = min([*lengths, *[WIDTH] * windows])
+    rows = _hashed(rows, keys, text).where(F.size("_words") >= least)
+    rows = rows.select(*keys, "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - least)).alias("_at"))
+    h = F.explode(F.array(*hashes)) if len(hashes) > 1 else hashes[0]
+    return rows.select(*keys, h.alias("h")).where(F.col("h").isNotNull())
 
 
 def _placed_windows(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

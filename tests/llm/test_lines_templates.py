@@ -102,3 +102,9 @@ def test_dense_and_short_items_are_met_word_for_word(spark):
     bench = frame(spark, [(10, numbers), (11, names), (12, short)], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in templates.find_leaks(frame(spark, rows), bench).collect()}
     assert found == {(0, 10), (1, 11), (2, 12), (9, 12)}
+
+
+def test_texts_are_spaced_once_and_windows_hashed_row_by_row(spark):
+    rows = frame(spark, [(1, ITEM, "en", "a", 0)]).selectExpr("doc_id as did", "text")
+    plan = templates._runs(rows, ["did"], "text", [3], True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1 and "transform(sequence(" not in plan
