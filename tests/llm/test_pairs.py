@@ -188,3 +188,12 @@ def test_elias_fano_round_trip_and_successor(n, top):
     assert (e.access(np.arange(n)) == v).all() and (e.whole() == v).all()
     asked = np.concatenate([v[:300], r.integers(0, top, 2000, dtype=np.uint64, endpoint=True), np.array([0, top], np.uint64)])
     assert (e.successor(asked) == np.searchsorted(v, asked)).all()
+
+
+def test_elias_fano_reads_words_without_spreading_their_bits(monkeypatch):
+    r = np.random.default_rng(3)
+    v = np.sort(r.integers(0, 2**40, 3000, dtype=np.uint64))
+    e = EliasFano(np.frombuffer(encode(v), np.uint8))
+    monkeypatch.setattr(np, "unpackbits", None)
+    at, asked = r.permutation(3000), r.integers(0, 2**41, 3000, dtype=np.uint64)
+    assert (e.access(at) == v[at]).all() and (e.successor(asked) == np.searchsorted(v, asked)).all()
