@@ -106,16 +106,21 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int, bits
     return rows.mapInArrow(read, "tok long, key long, place long, later long")
 
 
-def whole_sets(rows: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> DataFrame:
-    """key and set, as bytes, of the sets whose key is in ``wanted`` (key).  The bitmap is 2^bits bits, whatever the input."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
+def whole_sets(rows: DataFrame, every: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> DataFrame:
+    """key and set, as bytes, of the sets whose key is in ``wanted`` (key).  The bitmap is 2^bits bits, whatever the input.
+
+    ``every`` (key, th) names a text of each key, so only texts whose hash is marked are cut into shingles.
+    """
+    texts = every.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th"))
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(texts.select(F.col("th").alias("key")), bits))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
+            batch = batch.filter(pa.array(marked(shared.value, batch.column("th").to_numpy())))
             for start in range(0, batch.num_rows, 1000):
                 sets, numbers = _sets_of(batch.slice(start, 1000), words, width)
-                at = [i for i in np.flatnonzero(marked(shared.value, np.array(numbers, np.int64))) if len(sets[i])]
+                at = [i for i, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["key", "set"])
 
     return rows.mapInArrow(read, "key long, set binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
@@ -158,7 +163,7 @@ def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int
     lists = cut(prefixes(rows, counts, width, percent, class_bits).groupBy("tok", "key").agg(F.first("place").alias("place"), F.first("later").alias("later")))
     lists = shared_lists(lists)  # a shingle of one set links nothing
     sketches = surveyed.where(F.col("class").isNull()).groupBy("key").agg(F.first("n").alias("sn"), *[F.first(w).alias(w) for w in SKETCH])
-    links = links_of(lists, lambda wanted: whole_sets(rows, wanted, width), sketches, len(SKETCH), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
+    links = links_of(lists, lambda wanted: whole_sets(rows, every, wanted, width), sketches, len(SKETCH), percent, ["place", "later"], lambda a, b: _can_link(a, b, percent), part_rows)
     grouped = cut(components_of(every.withColumn("key", F.when(F.col("n") > 0, F.col("key"))), links))
     release(docs.sparkSession, surveyed, lists, links)
     return grouped

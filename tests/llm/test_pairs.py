@@ -197,3 +197,12 @@ def test_elias_fano_reads_words_without_spreading_their_bits(monkeypatch):
     monkeypatch.setattr(np, "unpackbits", None)
     at, asked = r.permutation(3000), r.integers(0, 2**41, 3000, dtype=np.uint64)
     assert (e.access(at) == v[at]).all() and (e.successor(asked) == np.searchsorted(v, asked)).all()
+
+
+def test_only_named_texts_are_cut_into_sets(spark):
+    texts = [(1, 11, b"a b c d e"), (2, 12, b"f g h i j"), (3, 13, b"a b c d e")]
+    rows = spark.createDataFrame(texts, "did long, th long, text binary")
+    every = ngramjoin.survey(rows, 4, 8).where("class is null").select("key", "th").localCheckpoint()
+    wanted = every.select("key").distinct()
+    assert ngramjoin.whole_sets(rows, every, wanted, 4).count() == 2
+    assert [len(r.set) for r in ngramjoin.whole_sets(rows, every.where("th = 12"), wanted, 4).collect()] == [16]
