@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tandemtape.llm import multiindex, ngramjoin, substrings
+from tandemtape.llm import linking, multiindex, ngramjoin, substrings
 from tandemtape.llm.components import components
 from tandemtape.llm.eliasfano import EliasFano, encode
 
@@ -206,3 +206,26 @@ def test_only_named_texts_are_cut_into_sets(spark):
     wanted = every.select("key").distinct()
     assert ngramjoin.whole_sets(rows, every, wanted, 4).count() == 2
     assert [len(r.set) for r in ngramjoin.whole_sets(rows, every.where("th = 12"), wanted, 4).collect()] == [16]
+
+
+@pytest.mark.parametrize("size", [150, 600])
+def test_pairs_tried_grow_with_a_group_not_with_its_square(spark, monkeypatch, size):
+    base, tried, judge = prose(70, 150), [], linking.verified
+    rows = [(i, edited(base, 1 + i % 2, 9000 + i), "en", "a", 0) for i in range(size)]  # one edit: linked; two: just apart from most
+    monkeypatch.setattr(linking, "verified", lambda pairs, *rest: tried.append(pairs.count()) or judge(pairs, *rest))
+    got = ngramjoin.similar_groups(frame(spark, rows), width=4, percent=85, part_rows=50).collect()
+    assert sum(tried) <= 8 * size
+    _, group = brute_groups(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(group))
+
+
+def test_no_two_sets_are_further_apart_by_a_fine_sketch_than_they_are(spark):
+    r = np.random.default_rng(8)
+    sets = [np.sort(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 140, 150, 700, 5000)]
+    sets += [np.sort(np.append(sets[2][:-k], r.integers(0, 2**63, k, dtype=np.uint64))) for k in (1, 5, 12)]
+    table = frame(spark, [(i, s.tobytes()) for i, s in enumerate(sets)], "key long, set binary")
+    made = linking.fine_sketches(table)
+    far = linking._finely_apart()
+    for x, y, apart in made.alias("x").join(made.alias("y")).select("x.key", "y.key", far).collect():
+        true = len(np.setxor1d(sets[x], sets[y]))
+        assert apart <= true and (true > 30 or apart == true)
