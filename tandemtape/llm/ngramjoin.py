@@ -22,31 +22,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemtape.llm.common import WORD, drop_shuffles_early, text_of
+from tandemtape.llm.common import WORD, drop_shuffles_early, small_batches, text_of
 from tandemtape.llm.linking import bitmap, components_of, links_of, marked, parity_sketch, shared_lists
 from tandemtape.llm.wordhash import MIX, WordHashes, lower_words, scrambled
 from tandemtape.session import cut, release
 
 LEAST_ID = -(2**63)
 SKETCH = [f"w{i}" for i in range(8)]
+#: Texts whose words are hashed together.
+SLICE = 200
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Different hashes of the word runs of a width; of a shorter text one hash of the whole."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    width_here = min(width, len(hashes))
-    runs = len(hashes) - width_here + 1
-    value = np.full(runs, np.uint64(width_here), np.uint64)
-    for k in range(width_here):
+    return different(_run_hashes(hashes, min(width, len(hashes))))
+
+
+def _run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the run of words that begins at each place."""
+    runs = len(hashes) - width + 1
+    value = np.full(runs, np.uint64(width), np.uint64)
+    for k in range(width):
         value = scrambled(value * MIX + hashes[k : k + runs])
-    return np.unique(value)
+    return value
+
+
+def different(values: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    s = np.sort(values)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def _sets_of(batch: pa.RecordBatch, words: WordHashes, width: int) -> tuple[list[np.ndarray], list[int]]:
     """The set of every text, and a 64-bit number of it, which equal sets share."""
-    sets = [shingles(words.of(lower_words(t)), width) for t in batch.column("text").to_pylist()]
-    return sets, [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
+    hashes = [words.of(lower_words(t)) for t in batch.column("text").to_pylist()]
+    # Runs of texts that are long enough are hashed in one go; those that reach into the next text are left out.
+    long = [h for h in hashes if len(h) >= width]
+    runs = iter(np.split(_run_hashes(np.concatenate([*long, np.zeros(width, np.uint64)]), width), np.cumsum([len(h) for h in long])))
+    sets = [different(next(runs)[: len(h) - width + 1]) if len(h) >= width else shingles(h, width) for h in hashes]
+    return sets, [xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets]
 
 
 def survey(rows: DataFrame, width: int, bits: int) -> DataFrame:
@@ -56,8 +74,8 @@ def survey(rows: DataFrame, width: int, bits: int) -> DataFrame:
         words, total = WordHashes(), np.zeros(1 << bits, np.int64)
         names = ["did", "th", "n", "key", "class", *SKETCH]
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                b = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, SLICE):
+                b = batch.slice(start, SLICE)
                 sets, numbers = _sets_of(b, words, width)
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
                 own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.int64()), pa.nulls(len(sets), pa.int64())]
@@ -86,18 +104,19 @@ def prefixes(rows: DataFrame, counts: np.ndarray, width: int, percent: int, bits
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, words = shared.value, WordHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
+            for start in range(0, batch.num_rows, SLICE):
                 tok, key, place, later = [], [], [], []
-                sets, numbers = _sets_of(batch.slice(start, 1000), words, width)
+                sets, numbers = _sets_of(batch.slice(start, SLICE), words, width)
                 for s, number in zip(sets, numbers):
                     n = len(s)
                     k = n - ceil(percent * n / 100) + 1 if n else 0
                     # The rarest k: only classes up to the k-th smallest count need sorting.
-                    order = rank[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                    s = s[np.lexsort((s, order))]
-                    onehot = (s & np.uint64(3))[:, None] == np.arange(4, dtype=np.uint64)
-                    left = np.minimum(onehot.sum(0) - np.cumsum(onehot[:k], 0), 65535).astype(np.uint64)
-                    tok.append(s[:k].view(np.int64))
+                    order = rank[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64) << 32 | np.arange(n)
+                    first = s[np.sort(np.partition(order, k - 1)[:k] if 0 < k < n else order) & 0xFFFFFFFF]
+                    of_class = first & np.uint64(3)
+                    passed = np.cumsum(of_class[:, None] == np.arange(4, dtype=np.uint64), 0)
+                    left = np.minimum(np.bincount((s & np.uint64(3)).astype(np.int64), minlength=4) - passed, 65535).astype(np.uint64)
+                    tok.append(first.view(np.int64))
                     key.append(np.full(k, number, np.int64))
                     place.append((np.int64(n) << 32) | np.arange(k, dtype=np.int64))
                     later.append((left @ np.array([1, 1 << 16, 1 << 32, 1 << 48], np.uint64)).view(np.int64))
@@ -118,8 +137,8 @@ def whole_sets(rows: DataFrame, every: DataFrame, wanted: DataFrame, width: int,
         words = WordHashes()
         for batch in batches:
             batch = batch.filter(pa.array(marked(shared.value, batch.column("th").to_numpy())))
-            for start in range(0, batch.num_rows, 1000):
-                sets, numbers = _sets_of(batch.slice(start, 1000), words, width)
+            for start in range(0, batch.num_rows, SLICE):
+                sets, numbers = _sets_of(batch.slice(start, SLICE), words, width)
                 at = [i for i, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["key", "set"])
 
@@ -152,8 +171,13 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
     return named.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("did")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _grouped(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int = 2_000, class_bits: int = 20) -> DataFrame:
-    """did, th (text hash), n and c, the component's number (null without words), for every row."""
+def _grouped(docs: DataFrame, **options) -> DataFrame:
+    """did, th (text hash), n and c, the component's number (null without words), for every row, as a cut table."""
+    with small_batches(docs.sparkSession):
+        return _joined(docs, **options)
+
+
+def _joined(docs: DataFrame, width: int = 4, percent: int = 85, part_rows: int = 2_000, class_bits: int = 20) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(text_of("text")).alias("th"), text_of("text").cast("binary").alias("text"))
     drop_shuffles_early(docs.sparkSession)
     surveyed = cut(survey(rows, width, class_bits))

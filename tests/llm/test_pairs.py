@@ -5,9 +5,11 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tandemtape.llm import linking, multiindex, ngramjoin, substrings
+from tandemtape.llm.common import BATCH_BYTES
 from tandemtape.llm.components import components
 from tandemtape.llm.eliasfano import EliasFano, encode
 
@@ -229,3 +231,21 @@ def test_no_two_sets_are_further_apart_by_a_fine_sketch_than_they_are(spark):
     for x, y, apart in made.alias("x").join(made.alias("y")).select("x.key", "y.key", far).collect():
         true = len(np.setxor1d(sets[x], sets[y]))
         assert apart <= true and (true > 30 or apart == true)
+
+
+def test_batches_of_the_join_are_bounded_by_bytes(spark, monkeypatch):
+    seen, survey = [], ngramjoin.survey
+
+    def watched(rows, *rest):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        seen.extend(r.n for r in rows.repartition(1).mapInArrow(sizes, "n long").collect())
+        return survey(rows, *rest)
+
+    monkeypatch.setattr(ngramjoin, "survey", watched)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual, long = spark.conf.get(name), prose(5, 30_000)
+    ngramjoin.similar_groups(frame(spark, [(i, f"{i} {long}", "en", "a", 0) for i in range(60)])).count()
+    assert len(seen) > 1 and max(seen) <= 1.2 * BATCH_BYTES and spark.conf.get(name) == usual
