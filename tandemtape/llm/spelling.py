@@ -8,6 +8,9 @@ of the shorter word can meet, are not made.
 
 A chunk that very many words share makes a long list.  The untouched chunk tells which half holds the edit, so the lists are
 told apart further by what one edit leaves of that half as well: its first or last quarter, by the same rule.
+
+Tables of words are joined by sorting on both sides (``sorted_sides``).  Spark sizes a side by the compressed file it was read from, and an explode
+makes many times that, so it would collect and broadcast chunks and words that do not fit the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ from tandemtape.session import cut, release
 RUN = r"[A-Za-zÀ-ÿ]+"
 
 
+def sorted_sides(side: DataFrame) -> DataFrame:
+    """The table as one side of a sort-merge join, whatever size Spark expects of it."""
+    return side.hint("merge")
+
+
 def slipped(doc_id: Column, run: Column, every: int) -> Column:
     """The run without one character, where ``every`` divides the checksum of its document and itself; else the run."""
     h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
@@ -62,7 +70,7 @@ def near_words(words: DataFrame) -> DataFrame:
     long = sized.withColumn("n", F.explode(F.array(F.col("m"), F.col("m") - 1)))
     grams = keyed(long, [("head", head(half), rest_of(half + 1)), ("tail", F.substr(w, half + 1, half), around(half)), ("tail", F.substr(w, half + 2, half), around(half + 1))])
     keys = ["n", "place", "chunk", "side", "part"]
-    met = chunks.withColumnsRenamed({"word": "a", "m": "ma"}).join(grams.withColumnsRenamed({"word": "b", "m": "mb"}), keys)
+    met = chunks.withColumnsRenamed({"word": "a", "m": "ma"}).join(sorted_sides(grams.withColumnsRenamed({"word": "b", "m": "mb"})), keys)
     met = met.where((F.col("ma") < F.col("mb")) | (F.col("a") < F.col("b"))).where(F.levenshtein("a", "b", 1) == 1)
     return met.select("a", "b").distinct()
 
@@ -80,7 +88,7 @@ def _roots(forms: DataFrame, ratio: int) -> DataFrame:
         steps += 1
     while reach < steps:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        then = cut(now.join(further, "root", "left").select("word", F.coalesce("_next", "root").alias("root")))
+        then = cut(now.join(sorted_sides(further), "root", "left").select("word", F.coalesce("_next", "root").alias("root")))
         release(spark, now)
         now, reach = then, 2 * reach
     return now
@@ -102,11 +110,11 @@ def variants(docs: DataFrame, every: int = 199, shortest: int = 6, least: int =
     words = cut(vocabulary(docs, every, shortest, least))
     pairs = cut(near_words(words))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "word", "b": "other"})
-    met = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("form_n")), "other")
+    met = both.join(sorted_sides(words.select(F.col("word").alias("other"), F.col("n").alias("form_n"))), "other")
     best = met.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), F.col("other").alias("form"))).alias("best"))
-    judged = words.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
+    judged = words.join(sorted_sides(best), "word", "left").withColumn("form_n", -F.col("best.less"))
     is_form = F.col("form_n") >= ratio * F.col("n")
     judged = cut(judged.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n")))
     roots = _roots(judged.where(F.col("form").isNotNull()), ratio)
-    result = judged.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    result = judged.join(sorted_sides(roots), "word", "left").withColumn("root", F.coalesce("root", "word"))
     return result.select("word", "form", "root", "n", "n_near", "form_n")

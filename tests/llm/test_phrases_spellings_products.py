@@ -285,3 +285,11 @@ def test_ordered_bytes_sort_as_numbers():
     r = random.Random(2)
     numbers = [r.choice([-1, 1]) * r.randrange(2 ** r.choice([1, 7, 8, 9, 63, 64, 700])) for _ in range(500)] + [0, -1, 127, 128, 255, 256, -128, -129, -256]
     assert sorted(numbers) == sorted(numbers, key=covertree.ordered)
+
+
+def test_chunks_of_words_are_never_broadcast(spark, tmp_path):
+    """Spark sizes the chunks by the file of the words before they are exploded, so a side that looks small may not fit the driver."""
+    frame(spark, [(f"word{i:06d}",) for i in range(3000)], "word string").write.parquet(str(tmp_path / "words"))
+    near = spelling.near_words(spark.read.parquet(str(tmp_path / "words")))
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().sparkPlan().toString()
+    assert near.count() > 3000 and "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
