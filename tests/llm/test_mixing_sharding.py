@@ -99,3 +99,20 @@ def test_amounts_follow_the_schedules(spark, monkeypatch):
     assert sum(r.taken for r in mixing.plan_mix(docs, keep=["doc_id"]).collect()) == 1500
     monkeypatch.setattr(mixing, "due", lambda demand, rank, schedules: F.lit(0.5))
     assert sum(r.taken for r in mixing.plan_mix(docs, keep=["doc_id"]).collect()) == 2000
+
+
+def test_amounts_come_from_the_walk_in_order_of_position(spark, monkeypatch):
+    """Uses are given their words in the order of their positions, so amounts need them and the query computes them."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(i, "w " * 7, "en", "a", 0) for i in range(101)])
+    planned = mixing.plan_mix(docs, keep=["doc_id"])
+    given = 0
+    for at, words_taken in sorted((r[f"{k}_position"], r[f"{k}_words"]) for r in planned.collect() for k in ("first", "second") if r[f"{k}_words"]):
+        assert words_taken == min(1060 - given, 7) and 0 <= at < 1
+        given += words_taken
+    assert given == 1060
+    # Positions that run backwards put the use under way at the end first, where all its words are left.
+    backwards = lambda demand, rank, schedules: F.when(demand < 1.0, 0.9 * (1.0 - demand)).otherwise(F.lit(1.0))
+    monkeypatch.setattr(mixing, "due", backwards)
+    assert mixing.plan_mix(docs, keep=["doc_id"]).agg(F.sum("taken")).first()[0] == 1064
