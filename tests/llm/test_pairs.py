@@ -249,3 +249,47 @@ def test_batches_of_the_join_are_bounded_by_bytes(spark, monkeypatch):
     usual, long = spark.conf.get(name), prose(5, 30_000)
     ngramjoin.similar_groups(frame(spark, [(i, f"{i} {long}", "en", "a", 0) for i in range(60)])).count()
     assert len(seen) > 1 and max(seen) <= 1.2 * BATCH_BYTES and spark.conf.get(name) == usual
+
+
+def test_texts_read_together_give_the_paragraphs_of_each():
+    texts = [t.encode() for t in ["", "one", "\n\n", " ".join(["Ha ha."] * 40), *(edited(prose(i, 60 + i), 20, i).replace("w1", "W.\nA") for i in range(30))]]
+    told, words_of, base = substrings.read(texts, substrings.Words()), substrings.Words(), 0
+    got = {(a, b): k for (a, b), k in zip(told.spans().tolist(), told.keys().tolist())}
+    sketches = dict(zip(got, substrings.sketches_of(told, told.spans()).tolist()))
+    want = set()
+    for text in texts:
+        h, spans = substrings.paragraphs(text, words_of)
+        want |= {(a + base, b + base) for a, b in spans.tolist()}
+        base += len(h)
+    assert set(got) == want and len(want) > 200
+    for (a, b), sketch in sketches.items():
+        own = np.unique(told.shingles[a : b - substrings.WIDTH + 1])
+        assert sketch == [len(own), *linking.parity_sketch(own, 2).tolist()]
+    by_words = {told.h[a:b].tobytes(): k for (a, b), k in got.items()}
+    assert all(by_words[told.h[a:b].tobytes()] == k for (a, b), k in got.items()) and len(set(by_words.values())) == len(by_words)
+
+
+def test_only_paragraphs_that_may_be_held_twice_are_banded(spark):
+    """Bands of paragraphs that no other document can hold cost the most, so they are not made; no similar pair is lost by that."""
+    passage = prose(7, 90)
+    texts = [prose(100 + i, 300) for i in range(40)] + [f"{prose(200 + i, 60)}\n{edited(passage, i % 4, i)}\n{prose(300 + i, 60)}" for i in range(12)]
+    told = substrings.read([t.encode() for t in texts], substrings.Words())
+    at = told.marks()
+    held = defaultdict(set)
+    for mark, text in zip(told.shingles[at].tolist(), told.text(at).tolist()):
+        held[mark].add(text)
+    shared = {m for m, of in held.items() if len(of) > 1}
+    marks = [k for k, m in zip(at.tolist(), told.shingles[at].tolist()) if m in shared]
+    spans = told.spans()
+    met = [any(a <= k <= b - substrings.WIDTH for k in marks) for a, b in spans.tolist()]
+    sets = [set(told.shingles[a : b - substrings.WIDTH + 1].tolist()) for a, b in spans.tolist()]
+    of, similar = told.text(spans[:, 0]), 0
+    for i, j in combinations(range(len(spans)), 2):
+        if of[i] != of[j] and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            similar += 1
+            assert met[i] and met[j]
+    assert similar > 100 and sum(met) < len(met) / 4
+    rows = frame(spark, [(i, i, t.encode()) for i, t in enumerate(texts)], "did long, th long, text binary")
+    table = spark.sparkContext.broadcast(linking.bitmap(substrings.shared_marks(rows), substrings.MARK_BITS))
+    keys = {k for k, m in zip(told.keys().tolist(), met) if m}
+    assert {r.key for r in substrings.banded(rows, 9, 4, table).collect()} == keys
